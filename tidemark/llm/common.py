@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +92,17 @@ def slices(batch, column: int, chars: int = SLICE_CHARS):
         end = max(start + 1, int(np.searchsorted(size, before + chars, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, so that their Python finds it wherever it runs."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="tidemark-package-")) / "tidemark.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import CONTROLS, escaping_example, format_chats, read_back, records_of_turns
-from .common import read_table
+from .common import read_table, ship
 from .dart_minhash import near_duplicates
 from .exact_dedup import exact_dedup
+from .lattice_lm import score_texts
 from .mixing import mix_sources
 from .packing import pack_documents
 from .token_counts import count_tokens
@@ -18,6 +20,14 @@ from .top_k import exact_top_k
 from .toxicity import toxicity_scores
 
 
+def crc_remainder(modulus: int) -> Column:
+    return F.crc32(F.col("id").cast("string").cast("binary")) % modulus
+
+
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"), crc_remainder(7) != 2)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -52,15 +62,28 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def shipped(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op2_best_fit_packing": op2_best_fit_packing,
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_toxicity": op4_toxicity,
-    "op5_chat_formatting": op5_chat_formatting,
-    "op7_exact_top_k": op7_exact_top_k,
-    "op8_minhash_near_dedup": op8_minhash_near_dedup,
-    "op9_token_counts": op9_token_counts,
-    "op10_source_mixing": op10_source_mixing,
+    f.__name__: shipped(f)
+    for f in (
+        op1_lattice_lm,
+        op2_best_fit_packing,
+        op3_exact_dedup,
+        op4_toxicity,
+        op5_chat_formatting,
+        op7_exact_top_k,
+        op8_minhash_near_dedup,
+        op9_token_counts,
+        op10_source_mixing,
+    )
 }
 
 ORACLE_SQL = {

@@ -12,6 +12,7 @@ from .chat_format import CONTROLS, escaping_example, format_chats, read_back, re
 from .common import read_table, ship
 from .dart_minhash import near_duplicates
 from .exact_dedup import exact_dedup
+from .language_id import identify_languages
 from .lattice_lm import score_texts
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -46,6 +47,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(records, "conv_id", "record"), "conv_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -79,6 +84,7 @@ QUERIES = {
         op3_exact_dedup,
         op4_toxicity,
         op5_chat_formatting,
+        op6_language_id,
         op7_exact_top_k,
         op8_minhash_near_dedup,
         op9_token_counts,

@@ -12,9 +12,11 @@ so that a text costs about ``K log K`` darts; texts with an empty coordinate go
 Joining. Copies (equal weighted sets) collapse to their smallest id. The others' signatures are
 cut into bands; texts that share a band's values meet in a bucket, of which one member leads.
 Leaders are compared with the members exactly, by the weighted Jaccard similarity of the whole
-texts, and links at or over the threshold are closed to components. Buckets whose remaining
-members still fall into several components choose further leaders from the smallest of these,
-until none is left: every pair that shares a bucket is either compared or known to be connected.
+texts, and links at or over the threshold are closed to components. Where a bucket then holds
+several components, members outside its largest one are compared with a few members of that one,
+and what still stands outside with all members of the bucket: these are dealt to fragments of
+bounded size, to each of which the few outsiders are copied. So every pair that shares a bucket is
+either compared or known to be connected, and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ K = BANDS * ROWS
 LOWEST = -10
 #: Darts a coordinate that are thrown at first, beyond ``ln K``.
 MARGIN = 2.0
-#: Leaders that an unsettled bucket chooses in a round.
-LEADERS = 8
+#: Members of a bucket's largest component that an outsider meets first, and members in a fragment.
+MEETINGS, FRAGMENT = 4, 500
 
 
 def poisson_limits(area: float) -> np.ndarray:
@@ -207,6 +209,44 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, threshold: floa
     return both.mapInArrow(run, schema).filter(F.col("similarity") >= threshold)
 
 
+def compare_fragments(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links between outsiders and others of each (bucket, fragment); ``rows``: ``bucket, fragment, band, rep, label, outside, bands, text``.
+
+    A pair that shares several buckets is compared in that of the first band. Outsiders meet each
+    other in fragment 0. Of an outsider's links to one component, one is returned.
+    """
+    kind = rows.schema["rep"].dataType
+
+    def compare(table):
+        import pyarrow as pa
+
+        from .words import shingles, weighted
+
+        rep, label = (table.column(c).to_numpy() for c in ("rep", "label"))
+        outside = table.column("outside").to_numpy(zero_copy_only=False)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
+        band, fragment = table.column("band")[0].as_py(), table.column("fragment")[0].as_py()
+        h, of, w = weighted(*shingles(table.column("text").combine_chunks(), size))
+        ends, total = np.searchsorted(of, np.arange(len(rep) + 1)), np.bincount(of, weights=w, minlength=len(rep))
+        out_a, out_b = [], []
+        for i in np.flatnonzero(outside):
+            same = bands == bands[i]
+            wanted = (label != label[i]) & (same.argmax(axis=1) == band)
+            wanted &= ~outside | (fragment == 0)
+            if not wanted.any():
+                continue
+            own_h, own_w = h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
+            at = np.minimum(np.searchsorted(own_h, h), len(own_h) - 1)
+            shared = np.bincount(of, weights=np.where(own_h[at] == h, np.minimum(own_w[at], w), 0.0), minlength=len(rep))
+            found = np.flatnonzero(wanted & (shared >= threshold * (total + total[i] - shared)))
+            _, first = np.unique(label[found], return_index=True)
+            out_a += [min(rep[i], rep[j]) for j in found[first]]
+            out_b += [max(rep[i], rep[j]) for j in found[first]]
+        return pa.table({"a": pa.array(out_a, table.schema.field("rep").type), "b": pa.array(out_b, table.schema.field("rep").type)})
+
+    return rows.groupBy("bucket", "fragment").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row: ``id_col, class_id, kept``; a class is a component of texts linked at ``threshold`` or more.
 
@@ -236,36 +276,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(source.mapInArrow(sign, schema), "signed")
     items = materialize(signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "items")
 
-    spread = items.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
-    lead = lambda: F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), F.col("rep").alias("rep")))
-    led = spread.groupBy("bucket").agg(F.count("*").alias("n"), lead().alias("leader")).filter("n > 1").select("bucket", F.col("leader.rep").alias("leader"))
-    members = materialize(spread.join(led, "bucket").select("bucket", "rep", "leader"), "members")
+    spread = items.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))
+    lead = F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), F.col("rep").alias("rep")))
+    led = spread.groupBy("bucket").agg(F.count("*").alias("n"), lead.alias("leader")).filter("n > 1").select("bucket", F.col("leader.rep").alias("leader"))
+    members = materialize(spread.join(led, "bucket").select("bucket", "band", "rep", "leader"), "members")
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    reps = source.join(wanted, "id", "left_semi")
-    texts = materialize(reps, "texts")
+    texts = materialize(source.join(wanted, "id", "left_semi"), "texts")
+    pair = lambda x: (F.least("rep", x).alias("a"), F.greatest("rep", x).alias("b"))
 
-    pairs = members.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    members = members.filter("rep <> leader").select("bucket", "rep")
-    tested = materialize(pairs, "pairs")
-    links = materialize(similar_pairs(tested, texts, size, threshold).select("a", "b"), "links")
-    while True:
+    def open_members(members, links):
+        """Members of buckets that hold several components, with their label and the bucket's largest one; and all labels."""
+        labels = components(links)
+        labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
+        counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        sizes = counted.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+        open_ = sizes.filter("parts > 1").select("bucket", "n", F.col("most.label").alias("main"))
+        return materialize(labelled.join(open_, "bucket"), "open"), labels
+
+    pairs = materialize(members.filter("rep <> leader").select(*pair("leader")).distinct(), "pairs")
+    links = materialize(similar_pairs(pairs, texts, size, threshold).select("a", "b"), "links")
+    # the leader has met all others
+    unsettled, labels = open_members(members.filter("rep <> leader"), links)
+    if not unsettled.isEmpty():
+        slot = F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(MEETINGS))
+        hosts = unsettled.filter("label = main").groupBy("bucket", slot.alias("slot")).agg(lead.alias("host")).select("bucket", F.col("host.rep").alias("host"))
+        meetings = unsettled.filter("label <> main").join(hosts, "bucket").select(*pair("host")).distinct().join(pairs, ["a", "b"], "left_anti")
+        links = links.unionByName(materialize(similar_pairs(materialize(meetings, "pairs"), texts, size, threshold).select("a", "b"), "links"))
+        unsettled, labels = open_members(unsettled.select("bucket", "band", "rep"), links)
+    if not unsettled.isEmpty():
+        fragments = F.ceil(F.col("n") / FRAGMENT).cast("int")
+        outside = F.col("label") != F.col("main")
+        own = F.array(F.pmod(F.xxhash64("rep", F.lit(10)), fragments.cast("long")).cast("int"))
+        dealt = unsettled.withColumn("outside", outside).withColumn("fragment", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), fragments - 1)).otherwise(own)))
+        with_text = dealt.join(texts.withColumnRenamed("id", "rep"), "rep").join(items.select("rep", "bands"), "rep")
+        rows = with_text.select("bucket", "fragment", "band", "rep", "label", "outside", "bands", "text")
+        links = links.unionByName(materialize(compare_fragments(rows, size, threshold), "links"))
         labels = components(links)
-        labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-        open_ = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-        labelled = materialize(labelled.join(open_, "bucket", "left_semi"), "open")
-        if labelled.isEmpty():
-            break
-        # members of the smallest components lead, so that a large one never has to be gone through
-        sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), lead().alias("own"))
-        slot = F.pmod(F.xxhash64("label", F.lit(9)), F.lit(LEADERS))
-        chosen = sizes.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("n", "own.h", "own.rep", "label")).alias("c"))
-        leaders = materialize(chosen.select("bucket", F.col("c.rep").alias("leader"), F.col("c.label").alias("own")), "leaders")
-        new = labelled.join(leaders, "bucket").filter("label <> own").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        new = materialize(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        members = labelled.join(leaders.select("bucket", F.col("leader").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        members = materialize(members, "members")
-        tested = tested.unionByName(new)
-        links = links.unionByName(materialize(similar_pairs(new, texts, size, threshold).select("a", "b"), "links"))
 
     classes = items.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
     out = signed.select("id", "f1", "f2").join(materialize(classes, "classes"), ["f1", "f2"])

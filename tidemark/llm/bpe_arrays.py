@@ -27,6 +27,16 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+#: Blocks whose characters have been the same in all recent versions of Unicode; text with others is split by the library.
+SETTLED = re.compile("[^\\x00-\\u024f\\u0370-\\u0377\\u037a-\\u037f\\u0384-\\u038a\\u0391-\\u03a1\\u03a3-\\u045f\\u2010-\\u2027\\u2030-\\u205e\\u3041-\\u3096\\u30a1-\\u30fe\\u4e00-\\u9fa5\\uac00-\\ud7a3]")
+
+
+def library_pieces(library, text: str) -> list[str]:
+    """How the library itself splits a text before merging."""
+    byte_of = {s: b for b, s in enumerate(byte_symbols())}
+    return [bytes(byte_of[c] for c in piece).decode("utf-8", "surrogatepass") for piece, _ in library.pre_tokenizer.pre_tokenize_str(text)]
+
+
 class RankMerger:
     """The merges of a tokenizer file (.json, model BPE over byte-level symbols)."""
 
@@ -144,6 +154,9 @@ class ByteBpe:
     """Counts tokens as the library does for a byte-level file: special strings are one token each, texts are whole."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
         self.merger = RankMerger(path)
         # the pattern of byte-level splitting (fixed values), white space spelled out
         self.fine = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
@@ -152,7 +165,7 @@ class ByteBpe:
         self.cache = ChunkCache(self._count)
 
     def pieces(self, text: str) -> list[str]:
-        return self.fine.findall(text)
+        return self.fine.findall(text) if not SETTLED.search(text) else library_pieces(self.library, text)
 
     def _count(self, chunks: list[str]) -> list[int]:
         """Tokens of what follows a space, with that space; -1 if white space at an edge makes them depend on what stands around."""
@@ -226,8 +239,8 @@ class WordBpe:
                 out[i] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
             # Python lowers a final sigma in another way
-            text = self.normal.normalize_str(c) if "\u03a3" in c else unicodedata.normalize("NFC", c).lower()
-            pieces = self.fine.findall(text)
+            text = self.normal.normalize_str(c) if "\u03a3" in c or SETTLED.search(c) else unicodedata.normalize("NFC", c).lower()
+            pieces = self.fine.findall(text) if not SETTLED.search(text) else library_pieces(self.library, text)
             spans.append((i, len(words), len(words) + len(pieces)))
             words += pieces
         unique = {w: k for k, w in enumerate(dict.fromkeys(words))}

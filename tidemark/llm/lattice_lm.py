@@ -306,7 +306,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 splits = pa.array(np.searchsorted(pair // m, np.arange(n + 1)), pa.int32())
                 tail = coded.dictionary.take(pa.array(pair % m))
                 yield pa.record_batch(
-                    [*part.columns[:3], pa.array(size + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(lm.ravel())), pa.ListArray.from_arrays(splits, tail), pa.ListArray.from_arrays(splits, pa.array(times, pa.int64()))],
+                    [*part.columns[:3], pa.array(size + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(lm.ravel(), pa.float64())), pa.ListArray.from_arrays(splits, tail), pa.ListArray.from_arrays(splits, pa.array(times, pa.int64()))],
                     ["row", "id", "learnt", "n_tokens", "seen", "base", "lm", "rare", "times"],
                 )
 
@@ -332,7 +332,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 base = np.log10(cs.sum(axis=1) + 1.0) * times
                 seen = np.where(cs.sum(axis=1) > 0, times, 0)
                 # a row's words are together only after the shuffle by row: sums, not words, go there
-                yield pa.record_batch([part.column(0), pa.array(base), pa.array(seen, pa.int64()), *(pa.array(lm[:, i]) for i in range(k))], ["row", "base", "seen", *(f"lm{i}" for i in range(k))])
+                yield pa.record_batch([part.column(0), pa.array(base, pa.float64()), pa.array(seen, pa.int64()), *(pa.array(lm[:, i], pa.float64()) for i in range(k))], ["row", "base", "seen", *(f"lm{i}" for i in range(k))])
 
     sent_scores = spark.sparkContext.broadcast(scores)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "learnt", "text")

@@ -1,0 +1,142 @@
+"""The corpus queries with SQL against it, and the contracts of the others on whole tables."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import DATA, same_rows
+from tidemark.llm.common import read_table
+from tidemark.llm.registry import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, duck, name):
+    same_rows(QUERIES[name](spark, DATA), duck, ORACLE_SQL[name])
+
+
+def documents(spark):
+    return [(r.doc_id, r.text or "") for r in read_table(spark, DATA, "documents").collect()]
+
+
+def test_lm_columns_by_brute_force(spark):
+    rows, got = documents(spark), {r.doc_id: r for r in QUERIES["op1_lattice_lm"](spark, DATA).collect()}
+    words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, t in rows if not held(i) for w in [*words(t), None])
+    n, v = sum(c.values()), len(c)
+    for i, t in rows:
+        own, r = [*words(t), None], got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(own), sum(c[w] > 0 for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+        assert r.score < 0
+
+
+def test_packing_by_brute_force(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.common import vocabulary_path
+
+    library = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    pieces = QUERIES["op2_best_fit_packing"](spark, DATA).collect()
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    for i, t in documents(spark):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted(by_doc.pop(i), key=lambda p: p.piece)
+        assert [(p.piece, p.start) for p in own] == [(k, 2048 * k) for k in range(-(-len(ids) // 2048))]
+        assert all(p.length == len(x := ids[p.start : p.start + 2048]) and p.ids_crc32 == zlib.crc32(x.tobytes()) for p in own)
+    assert not by_doc
+    for own in by_sequence.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048
+    assert len(by_sequence) <= -(-sum(p.length for p in pieces) // 2048) + 1
+
+
+def test_counts_by_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.common import vocabulary_path
+
+    library = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op9_token_counts"](spark, DATA).collect()}
+    for i, t in documents(spark):
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert got[i] == (len(t.encode()), n, n > 512)
+
+
+def test_near_copies_by_brute_force(spark):
+    rows, got = documents(spark), {r.doc_id: r.class_id for r in QUERIES["op8_minhash_near_dedup"](spark, DATA).collect()}
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows for w in [t.lower().split()]}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(sets)
+    for a in order:
+        for b in order:
+            if a < b and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: root(i) for i in sets}
+
+
+def test_toxicity_columns(spark):
+    rows = QUERIES["op4_toxicity"](spark, DATA).collect()
+    assert len(rows) == len(documents(spark))
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+
+
+def test_languages_agree_with_clean_evidence(spark):
+    rows = QUERIES["op6_language_id"](spark, DATA).collect()
+    clear = [r for r in rows if r.text_lang == r.declared == r.suggested]
+    assert len(rows) == read_table(spark, DATA, "pages").count() and len(clear) > len(rows) // 2
+    assert all(r.lang == r.text_lang for r in clear)
+
+
+def test_mix_keeps_rows_and_shares(spark):
+    from tidemark.llm.mixing import balanced_weights
+
+    docs = read_table(spark, DATA, "documents")
+    rows = QUERIES["op10_source_mixing"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+    assert len({r.position for r in rows}) == len(rows)
+    weights = balanced_weights({r.source: r["count"] for r in docs.groupBy("source").count().collect()})
+    slots = sorted({(r.slot, r.source) for r in rows if r.phase == 0})
+    total, seen = sum(weights.values()), Counter()
+    for t, (_, s) in enumerate(slots, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - t * w / total) < 1 for x, w in weights.items())
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = read_table(spark, DATA, "documents")
+    columns, last = docs.columns, docs
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        from tidemark.llm.common import materialize
+
+        last = materialize(stage(spark, last, DATA), name)
+        kept.append(last.count())
+        if name != "best_fit_packing":
+            assert last.columns == columns
+    toxic = {r.doc_id for r in read_table(spark, DATA, "labels").filter("toxic = 1").collect()}
+    assert kept[0] <= docs.count() - 0.5 * len(toxic) and kept[1] <= kept[0] and kept[2] == kept[3] <= kept[1]
+    packed = corpus_pipeline.run(spark, DATA)
+    assert packed.agg(F.countDistinct("doc_id")).first()[0] == kept[3]

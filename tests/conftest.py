@@ -7,7 +7,6 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
@@ -27,6 +26,7 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import DATA
 
     connection = duckdb.connect()
     connection.execute("SET TimeZone = 'UTC'")
@@ -35,12 +35,3 @@ def duck():
         path = f"{path}/*.parquet" if os.path.isdir(path) else path
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
     return connection
-
-
-def same_rows(df, connection, sql):
-    """Asserts that a frame and a query give the same rows and names."""
-    columns = sorted(df.columns)
-    mine = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
-    theirs = sorted(repr(tuple(r)) for r in connection.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
-    assert len(mine) == len(theirs)
-    assert mine == theirs

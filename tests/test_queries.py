@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import DATA, same_rows
+from support import DATA, same_rows
 from tidemark.plans.queries import ORACLE_SQL, QUERIES
 
 

@@ -142,7 +142,7 @@ def test_change_log(spark, tmp_path):
 
 
 def test_full_pipeline(spark):
-    from conftest import DATA
+    from support import DATA
     from tidemark.plans.queries import QUERIES
 
     sizes = {r.table_name: r.n_rows for r in QUERIES["full_pipeline"](spark, DATA).collect()}

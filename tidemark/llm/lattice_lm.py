@@ -60,16 +60,18 @@ class Pieces:
             ending = piece.endswith(suffix) and piece != suffix
             (ends if ending else inner).append((bytes(byte_of[c] for c in (piece[: -len(suffix)] if ending else piece)), i))
         self.longest = max(len(b) for b, _ in inner + ends)
+        # a table by a short hash of all beginnings of pieces: few strings go on to be pieces
+        self.begun = np.zeros(1 << 22, bool)
         self.inner, self.ends = self._table(inner), self._table(ends)
 
-    @staticmethod
-    def _table(pieces):
+    def _table(self, pieces):
         h = np.zeros(len(pieces), np.uint64)
         with np.errstate(over="ignore"):
             for k, (b, _) in enumerate(pieces):
                 x = np.uint64(0)
                 for c in b:
                     x = x * _P + np.uint64(c + 1)
+                    self.begun[int(x >> np.uint64(42))] = True
                 h[k] = x
         ids = np.array([i for _, i in pieces], np.int64)
         order = np.argsort(h)
@@ -119,16 +121,21 @@ def word_groups(words: list[bytes], most: int = 1 << 20):
 def lattice(pieces: Pieces, scores: np.ndarray, group: np.ndarray, keep: bool = False):
     """Forward log probabilities of words of one length (rows of bytes) for each column of ``scores``, and with ``keep`` the lattice's edges."""
     n, size = group.shape
-    codes = group.astype(np.uint64) + np.uint64(1)
+    codes = np.ascontiguousarray(group.T).astype(np.uint64) + np.uint64(1)
     alpha = np.full((size + 1, n, scores.shape[1]), -np.inf)
     alpha[0] = 0.0
     edges = []
     for s in range(size):
-        h = np.zeros(n, np.uint64)
+        live, h = np.arange(n), np.zeros(n, np.uint64)
         for e in range(s + 1, min(size, s + pieces.longest) + 1):
-            h = h * _P + codes[:, e - 1]
+            h = h * _P + codes[e - 1, live]
+            more = pieces.begun[(h >> np.uint64(42)).astype(np.int64)]
+            live, h = live[more], h[more]
+            if not len(live):
+                break
             at, ids = pieces.find(h, e - s, e == size)
             if len(at):
+                at = live[at]
                 alpha[e, at] = np.logaddexp(alpha[e, at], alpha[s, at] + scores[ids])
                 if keep:
                     edges.append((s, e, at, ids))
@@ -155,13 +162,31 @@ def expected_counts(pieces: Pieces, scores: np.ndarray, words: list[bytes], weig
             beta = np.full(alpha.shape, -np.inf)
             beta[-1] = 0.0
             total, w = alpha[-1], weight[used[at], k]
+            all_ids, all_x = [], []
             for s, e, own, ids in reversed(edges):
                 step = scores[ids, k] + beta[e, own]
                 beta[s, own] = np.logaddexp(beta[s, own], step)
-                np.add.at(out[:, k], ids, w[own] * np.exp(alpha[s, own] + step - total[own]))
+                all_ids.append(ids)
+                all_x.append(w[own] * np.exp(alpha[s, own] + step - total[own]))
+            out[:, k] += np.bincount(np.concatenate(all_ids), weights=np.concatenate(all_x), minlength=len(out))
     return out
 
 
+def gathered(batches, rows: int = 100_000):
+    """Arrow batches joined to larger ones, so that words of each length are many."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def split_tokens(texts):
     """Words of an Arrow array of texts as the contract has them, with the text of each."""
     import pyarrow as pa
@@ -219,9 +244,8 @@ def fit_scores(counts: DataFrame, classes: int, vocabulary: str = WORD_BPE, roun
             import pyarrow as pa
 
             pieces, total = pieces_of(vocabulary_path(vocabulary)), np.zeros(sent.value.shape)
-            for batch in batches:
-                for a in range(0, batch.num_rows, 20_000):
-                    part = batch.slice(a, 20_000)
+            for part in gathered(batches):
+                if part.num_rows:
                     seen = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, classes) > 0
                     total += expected_counts(pieces, sent.value, part.column(0).cast(pa.binary()).to_pylist(), seen.astype(np.float64))
             at = np.flatnonzero(total)
@@ -317,9 +341,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
         pieces, learnt = pieces_of(vocabulary_path(vocabulary)), sent_scores.value
         known = ChunkCache(lambda words: list(marginals(pieces, learnt, [w.encode("utf-8", "surrogatepass") for w in words])), 100_000)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 20_000):
-                part = batch.slice(a, 20_000)
+        for part in gathered(batches):
+            if part.num_rows:
                 coded = part.column(1).dictionary_encode()
                 code = coded.indices.to_numpy(zero_copy_only=False)
                 sub = np.array(known.of(coded.dictionary.to_pylist()))[code]

@@ -180,6 +180,38 @@ def test_top_k_by_brute_force(spark):
     assert [tuple(r) for r in few] == [(0, 1, 1, 256 * 512)]
 
 
+def test_top_k_where_tasks_read_short_vectors_first(spark):
+    """More files than cores; long vectors have few distinct values, so that their files are the smallest and are read last."""
+    rng = np.random.default_rng(4)
+    short, long_ = rng.uniform(-1, 1, (20_000, 4)), rng.choice([-40.0, 40.0], (4_000, 4))
+    vectors = np.concatenate([short, long_])
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, x in conf.items():
+            spark.conf.set(c, x)
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+        got = Counter(map(tuple, top_k.exact_top_k(rows, F.col("id") % 200 == 0).collect()))
+    finally:
+        for c, x in before.items():
+            spark.conf.set(c, x)
+    ints, want = np.floor(256 * vectors), Counter()
+    for q in range(0, len(ints), 200):
+        scores = ints @ ints[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(len(ints)), -scores))[:5]
+        want.update((q, n, int(i), int(scores[i])) for n, i in enumerate(best, 1))
+    assert got == want
+
+
+def test_scan_takes_tiles_in_any_order():
+    rng = np.random.default_rng(6)
+    q, tiles = rng.integers(-9, 9, (20, 4)).astype(float), [(np.arange(100) + 100 * n, rng.integers(-9, 9, (100, 4)) * float(size)) for n, size in enumerate((50, 1, 80, 100))]
+    found = top_k.scan(tiles, np.arange(1_000, 1_020), q, np.eye(4), np.full(20, -np.inf), 3, 1)
+    scores = q @ np.concatenate([v for _, v in tiles]).T
+    assert np.array_equal(found.score.reshape(20, 3), -np.sort(-scores, axis=1)[:, :3])
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 2**63, 200).astype(np.uint64)

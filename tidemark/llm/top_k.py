@@ -5,8 +5,9 @@
 2. The matrix of summed outer products, gathered by partial sums, gives the right singular
    vectors. Rotated by them, the leading coordinates hold most of an inner product.
 3. Queries go in blocks of bounded size. A block starts from its scores against the longest
-   vectors of all; each task then walks down its sorted vectors. A query leaves as soon as the
-   product of lengths (Cauchy-Schwarz) is below its k-th score; a pair is dropped when the
+   vectors of all; each task then walks over tiles of its vectors, which descend within a file
+   but not from file to file. A query passes over a tile whose largest product of lengths
+   (Cauchy-Schwarz) is below its k-th score; a pair is dropped when the
    leading coordinates' sum plus the product of the residual lengths is. What is left is scored
    in integers, and the tasks' best are merged.
 """
@@ -98,17 +99,18 @@ class Best:
 
 
 def scan(chunks, q_ids: np.ndarray, q: np.ndarray, rotate: np.ndarray, least: np.ndarray, k: int, lead: int) -> Best:
-    """``chunks``: (ids, integer vectors) by descending length. Scores below ``least`` are not wanted."""
+    """``chunks``: (ids, integer vectors), best by descending length, right in any order. Scores below ``least`` are not wanted."""
     best, slack = Best(len(q_ids), k), 1e-6
     qr = q @ rotate
     q_norm, q_rest = np.linalg.norm(q, axis=1), np.linalg.norm(qr[:, lead:], axis=1)
     limit = least.copy()
     for ids, v in chunks:
-        vr = v @ rotate
-        norm, rest = np.linalg.norm(v, axis=1), np.linalg.norm(vr[:, lead:], axis=1)
+        norm = np.linalg.norm(v, axis=1)
         live = np.flatnonzero(q_norm * norm.max(initial=0.0) * (1 + slack) + slack >= limit)
         if not len(live):
-            break
+            continue  # a task reads several files, by size: longer vectors may follow
+        vr = v @ rotate
+        rest = np.linalg.norm(vr[:, lead:], axis=1)
         for a in range(0, len(live), TILE):
             at = live[a : a + TILE]
             bound = qr[at, :lead] @ vr[:, :lead].T + np.outer(q_rest[at], rest)

@@ -140,3 +140,22 @@ def test_pipeline(spark):
     assert kept[0] <= docs.count() - 0.5 * len(toxic) and kept[1] <= kept[0] and kept[2] == kept[3] <= kept[1]
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.agg(F.countDistinct("doc_id")).first()[0] == kept[3]
+
+
+def test_stages_pack_in_the_order_of_the_mix(spark):
+    """Each text nearly fills a sequence, so that a prefix of sequences is one of documents."""
+    import corpus_pipeline
+    from tidemark.llm.common import materialize
+    from tidemark.llm.mixing import balanced_weights
+
+    counts = {"a": 360, "b": 40, "c": 40}
+    rows = [(i, "the " * 1_100, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = materialize(stages["source_mixing"](spark, docs, DATA), "mixed")
+    pieces = stages["best_fit_packing"](spark, mixed, DATA).orderBy("sequence_id").collect()
+    assert len({p.sequence_id for p in pieces}) == len(rows)
+    weights, seen = balanced_weights(counts), Counter(rows[p.doc_id][2] for p in pieces[:128])
+    # blocks of 16 rows, and less than one block from each share
+    assert all(abs(seen[s] - 128 * w / sum(weights.values())) < 16 for s, w in weights.items())
+    assert seen["a"] < 128 * counts["a"] / len(rows) - 8

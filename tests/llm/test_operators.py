@@ -83,6 +83,45 @@ def test_tokens_of_odd_rows(odd, empty):
     assert max(room.values()) <= 2048 and [p.length for p in pieces if p.doc_id == 3] == [1]
 
 
+def check_packed(pieces, capacity):
+    """Sequences are filled from offset 0 without gaps and hold no more than ``capacity``."""
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append(p)
+    for own in by.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(x.length for x in own[:i]) for i in range(len(own))] and sum(p.length for p in own) <= capacity
+    return by
+
+
+def test_sequences_follow_the_mix(spark):
+    rng = np.random.default_rng(8)
+    counts = {"a": 2_400, "b": 300, "c": 300}
+    rows = [(i, "w " * int(rng.integers(1, 30)), s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack_mixed(docs, {"a": 1, "b": 1, "c": 2}, capacity=40, partition_pieces=128).collect()
+    by = check_packed(pieces, 40)
+    assert {p.doc_id for p in pieces} == set(range(3_000)) and len(pieces) == 3_000
+    assert len(by) <= 1.03 * sum(p.length for p in pieces) / 40
+    source, seen, n = {i: s for i, _, s in rows}, Counter(), 0
+    for q in sorted(by):
+        seen.update(source[p.doc_id] for p in by[q])
+        n += len(by[q])
+        if n >= 300:
+            break
+    for s, w in {"a": 0.25, "b": 0.25, "c": 0.5}.items():
+        assert abs(seen[s] / n - w) < 0.08
+
+
+def test_mixed_packing_of_odd_rows(odd, empty):
+    pieces = packing.pack_mixed(odd, partition_pieces=3).collect()
+    plain = packing.pack_documents(odd).collect()
+    what = lambda rows: sorted((str(p.doc_id), p.piece, p.start, p.length, p.ids_crc32) for p in rows)
+    assert what(pieces) == what(plain) and pieces[0].__fields__ == plain[0].__fields__
+    check_packed(pieces, 2_048)
+    assert packing.pack_mixed(empty).count() == 0
+
+
 texts = st.text(alphabet=st.sampled_from("ab 'sΣéİ\n\t\x1c<|endoftxsr>１日😀.,!"), max_size=60)
 
 

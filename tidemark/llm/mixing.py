@@ -16,7 +16,7 @@ and numbered within a bucket, so that a source with most of the rows is no hot k
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ def balanced_weights(counts: Mapping[str, int], exponent: float = 0.5, parts: in
     return {s: max(1, round(max(parts, len(counts)) * n**exponent / total)) for s, n in counts.items()}
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, keep: Sequence[str] = ()) -> DataFrame:
     """Each row's place in the mix: ``id_col, source, block, phase, slot, release, deadline, position``.
 
     ``slot`` is the place of the row's block in the schedule, from 0 and without gaps; ``release``
@@ -93,9 +93,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, sourc
     proportional to the square root of a source's rows. A null source counts as the source ``''``.
     Within a source, rows follow a hash of their id, then the id; null ids come last and rows
     that repeat an id are placed one after the other. Every row is placed exactly once; none is
-    dropped or repeated. No rows give no rows. Only the two named columns are read.
+    dropped or repeated. No rows give no rows. Only the two named columns are read, and those
+    in ``keep``, which are given back; their names must not be used here.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *keep)
     spark = docs.sparkSession
     counts = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -126,7 +127,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, sourc
         F.col("id").alias(id_col), "source", "block", F.col("p.phase").alias("phase"), "slot",
         F.expr("p.base + i * p.total div p.parts").alias("release"),
         F.expr("p.base + ((i + 1) * p.total + p.parts - 1) div p.parts").alias("deadline"),
-        (F.col("slot") * block_rows + F.col("within")).alias("position"),
+        (F.col("slot") * block_rows + F.col("within")).alias("position"), *keep,
     )
 
 

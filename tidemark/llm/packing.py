@@ -9,11 +9,16 @@
    largest summed bound, the pieces in sequences with gaps are exchanged: dealt anew over fewer
    partitions, and packed again. It ends when the bound certifies the number, when one
    partition has packed all that is left, or when an exchange no longer saves a sequence.
+
+Where the sources are to stay mixed, partitions are contiguous ranges of the rows' positions in the
+mix, and a sequence is numbered by the position of its first piece, its longest. A sequence then holds
+rows of one range, but for the pieces that were exchanged, whose ranges are wider.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Mapping, Sequence
 from functools import cache
 
 import numpy as np
@@ -21,13 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BPE, materialize, power_of_two, slices, text_of, vocabulary_path
+from .common import WORD_BPE, inline, materialize, power_of_two, slices, text_of, vocabulary_path
+from .mixing import mix_sources
 
 #: Tokens in a sequence, and the id that ends a document.
 CAPACITY = 2_048
 END_ID = 0
 #: Pieces that one partition packs, about.
 PARTITION_PIECES = 50_000
+#: Pieces in a range of the mix at first, about, and cells that ranges are made of, at most.
+MIXED_PIECES = 4_096
+CELLS = 16_384
 
 
 @cache
@@ -37,9 +46,9 @@ def encoder(path: str):
     return WordBpe(path)
 
 
-def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents: ``id, piece, start, length, ids_crc32``."""
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID, keep: Sequence[str] = ()) -> DataFrame:
+    """The pieces of all documents: ``id, piece, start, length, ids_crc32`` and the columns in ``keep``."""
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *keep)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
@@ -58,10 +67,12 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         start.append(a // 4)
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
-                ids = part.column(0).take(pa.array(of, pa.int64()))
-                yield pa.record_batch([ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
+                of = pa.array(of, pa.int64())
+                own = [part.column(2 + c).take(of) for c in range(len(keep))]
+                yield pa.record_batch([part.column(0).take(of), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *own], ["id", "piece", "start", "length", "ids_crc32", *keep])
 
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
+    kept = [rows.schema[c] for c in keep]
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")), *kept])
     return rows.mapInArrow(run, schema)
 
 
@@ -110,35 +121,66 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, left
 
 
+def mixed_ranges(pieces: DataFrame, parts: int, width: int) -> DataFrame:
+    """``pieces`` with ``_p``: contiguous ranges of ``position`` with about equal numbers of pieces, made of cells ``width`` wide."""
+    cell = F.expr(f"position div {width}L")
+    found = sorted((r.cell, r.n) for r in pieces.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect())
+    total, before, cells = sum(n for _, n in found), 0, []
+    for c, n in found:
+        cells.append({"_cell": c, "_p": before * parts // total})
+        before += n
+    return pieces.withColumn("_cell", cell).join(F.broadcast(inline(pieces.sparkSession, cells, "_cell long, _p long")), "_cell").drop("_cell")
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
-    """``pieces`` with ``sequence_id, offset`` and ``certified`` (no packing of these pieces uses fewer sequences)."""
+    """``pieces`` with ``sequence_id, offset`` and ``certified`` (no packing of these pieces uses fewer sequences).
+
+    If ``pieces`` have a ``position``, one for each document, ranges of it are packed and ``sequence_id`` follows it.
+    """
     cols = pieces.columns
-    whole = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")})
+    mixed = "position" in cols
+    # a text has less than 2^31 bytes, and no more ids with its end id
+    bits = ((1 << 31) // capacity + 1).bit_length()
+    number = F.shiftleft("position", bits) + F.col("piece") if mixed else F.monotonically_increasing_id() * 2
+    whole = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")})
     done = [whole]
     todo = pieces.filter(F.col("length") < capacity)
-    n, round_, spent, before, certified = todo.count(), 0, 0, None, True
+    n, round_, before, certified = todo.count(), 0, None, True
+    p = width = None
+    if mixed and n:
+        width = max(1, partition_pieces // 8, -(-(todo.agg(F.max("position")).first()[0] + 1) // CELLS))
     while n:
+        fewer = p // 4 if mixed and p else None  # equal ranges would be packed as before
         p = power_of_two(n / partition_pieces)
+        if fewer is not None:
+            p = max(1, min(p, fewer), power_of_two(n / max(partition_pieces, PARTITION_PIECES)))
         schema = T.StructType([*todo.schema.fields, *(T.StructField(c, T.LongType()) for c in ("bin", "offset", "room")), T.StructField("sums", T.MapType(T.StringType(), T.DoubleType()))])
 
         def pack(key, table):
             import pyarrow as pa
 
             table = table.select(cols).combine_chunks()
-            table = table.sort_by([("ids_crc32", "ascending"), ("start", "ascending")])
+            table = table.sort_by([(c, "ascending") for c in (("position", "piece") if mixed else ("ids_crc32", "start"))])
             lengths = table.column("length").to_numpy()
             bins, offsets, left = best_fit_decreasing(lengths, capacity)
+            names = key[0].as_py() << 32 | np.arange(len(left))
+            if mixed:
+                first = offsets == 0
+                names[bins[first]] = ((table.column("position").to_numpy() << bits) + table.column("piece").to_numpy())[first]
             sums = [list(dual_feasible_sums(lengths, capacity).items())] + [None] * (len(lengths) - 1)
-            for name, values in (("bin", key[0].as_py() << 32 | bins), ("offset", offsets), ("room", np.array(left, np.int64)[bins])):
+            for name, values in (("bin", names[bins]), ("offset", offsets), ("room", np.array(left, np.int64)[bins])):
                 table = table.append_column(name, pa.array(values, pa.int64()))
             return table.append_column("sums", pa.array(sums, pa.map_(pa.string(), pa.float64())))
 
-        dealt = todo.withColumn("_p", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(round_)), F.lit(p)))
+        if mixed:
+            dealt = mixed_ranges(todo, p, width)
+        else:
+            dealt = todo.withColumn("_p", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(round_)), F.lit(p)))
         packed = materialize(dealt.groupBy("_p").applyInArrow(pack, schema), f"packed-{round_}")
         used = packed.filter("offset = 0").count()
         sums = packed.select(F.explode("sums")).groupBy("key").agg(F.sum("value").alias("bound")).collect()
         bound = max((int(-(-(r.bound - 1e-6) // 1)) for r in sums), default=0)
-        name = (F.col("bin") * 16 + min(round_, 15)) * 2 + 1
+        name = F.col("bin") if mixed else (F.col("bin") * 16 + min(round_, 15)) * 2 + 1
         final = used <= bound or p == 1 or round_ == 15 or (before is not None and used >= before)
         certified = used <= bound
         settled = packed if final else packed.filter("room = 0")
@@ -165,3 +207,18 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     pieces = materialize(cut_documents(docs, id_col, text_col, vocabulary, capacity, end_id), "pieces")
     return pack_pieces(pieces, capacity, partition_pieces).withColumnRenamed("id", id_col)
+
+
+def pack_mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID, partition_pieces: int = MIXED_PIECES) -> DataFrame:
+    """``pack_documents`` with sequences in the order of the mix: each ``sequence_id`` is larger than those of earlier positions.
+
+    Positions are those of ``mix_sources``. They follow from ids, sources and weights alone and are
+    worked out here from the rows given, as files do not keep the order of rows. A sequence stands
+    at the position of its longest piece; the others are from the same range of about
+    ``partition_pieces`` pieces, or of a wider one where an exchange has saved sequences.
+    """
+    rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_row": F.monotonically_increasing_id()})
+    pieces = materialize(cut_documents(rows, id_col, text_col, vocabulary, capacity, end_id, ["_source", "_row"]), "pieces")
+    places = mix_sources(pieces.filter("piece = 0"), weights, "_source", "id", keep=["_row"]).select("_row", "position")
+    placed = materialize(pieces.join(places, "_row").drop("_row", "_source"), "placed")
+    return pack_pieces(placed, capacity, partition_pieces).drop("position").withColumnRenamed("id", id_col)

@@ -159,3 +159,14 @@ def test_stages_pack_in_the_order_of_the_mix(spark):
     # blocks of 16 rows, and less than one block from each share
     assert all(abs(seen[s] - 128 * w / sum(weights.values())) < 16 for s, w in weights.items())
     assert seen["a"] < 128 * counts["a"] / len(rows) - 8
+
+
+def test_near_copies_stage_keeps_clean_texts_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = lambda s, n=60: [f"{s}{i}" for i in range(n)]
+    base, near = words("w"), [*words("w")[:-1], "other"]
+    rows = [(3, " ".join(base)), (5, " ".join(words("a"))), (5, " ".join(base).upper()), (6, " ".join(words("b"))), (6, " ".join(near)), (7, "alone"), (None, " ".join(base)), (None, "alone")]
+    kept = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert kept.columns == ["doc_id", "text"]
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[1], rows[3], *rows[5:]])

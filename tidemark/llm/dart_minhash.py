@@ -253,9 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id of the class, ``kept`` holds for that id's row. Words are
     lower-cased and stand between white space. A text of fewer than ``size`` words is one element,
     so that it is similar only to the same words; null and empty texts are copies of each other.
-    Rows with a null id are each a class of their own, with a null ``class_id``, and are kept. Rows that
-    share an id are one document in the links between classes; of them all are marked alike. Texts
-    are compared whole, whatever their length. Other columns are not read. No rows give no rows.
+    Rows with a null id are each a class of their own, with a null ``class_id``, and are kept. Ids are
+    meant to name one text: rows that share an id and have different texts are marked by the class
+    of their own text each, and a link of one may join another's class too. Texts are compared
+    whole, whatever their length. Other columns are not read. No rows give no rows.
     """
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     nameless = source.filter("id is null").select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
@@ -315,6 +316,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = items.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
     out = signed.select("id", "f1", "f2").join(materialize(classes, "classes"), ["f1", "f2"])
-    # an id whose rows have several texts: these are one document
     out = out.select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")).unionByName(nameless)
     return out.withColumnRenamed("id", id_col)

@@ -170,3 +170,51 @@ def test_near_copies_stage_keeps_clean_texts_of_repeated_ids(spark):
     kept = dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
     assert kept.columns == ["doc_id", "text"]
     assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[1], rows[3], *rows[5:]])
+
+
+def test_each_stage_against_plain_python(spark):
+    """Rows that each stage leaves, their order after mixing and all pieces; of toxicity the model's weights are taken as fitted."""
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from tidemark.llm import toxicity
+    from tidemark.llm.common import materialize, vocabulary_path
+    from tidemark.llm.mixing import mix_sources
+
+    docs = read_table(spark, DATA, "documents")
+    at, weights, intercept = toxicity.fit_toxicity(docs, read_table(spark, DATA, "labels"), F.lit(True))
+    weight, bits = dict(zip(at.tolist(), weights.tolist(), strict=True)), toxicity.FtrlSettings().bits
+    logit = lambda t: intercept + sum(weight.get(x, 0.0) for x in toxicity.features(pa.array([t]), bits)[0].tolist())
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, DATA)
+        out[name] = made.collect()
+        docs = materialize(made, name)
+        if name == "source_mixing":
+            position = {r.doc_id: r.position for r in mix_sources(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in read_table(spark, DATA, "documents").collect()}
+    left = {i: t for i, t in texts.items() if 1 / (1 + math.exp(-logit(t))) < toxicity.CUT}
+    assert 0 < len(left) < len(texts) and sorted(r.doc_id for r in out["toxicity"]) == sorted(left)
+    left = {i: t for t, i in {t: i for i, t in sorted(left.items())}.items()}
+    assert sorted(r.doc_id for r in out["exact_dedup"]) == sorted(left)
+    sets = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in left.items() for w in [t.lower().split()]}
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and label[a] != label[b] and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    left = {i: t for i, t in left.items() if label[i] == i}
+    assert sorted(r.doc_id for r in out["minhash_near_dedup"]) == sorted(left)
+    assert [r.doc_id for r in out["source_mixing"]] == sorted(left, key=position.get)
+    library = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    want = set()
+    for i, t in left.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, a // 2048, a, len(x := ids[a : a + 2048]), zlib.crc32(x.tobytes())) for a in range(0, len(ids), 2048)}
+    packed = out["best_fit_packing"]
+    assert len(packed) == len(want) and {(p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in packed} == want
+    first = [position[p.doc_id] for p in sorted(packed, key=lambda p: p.sequence_id) if p.offset == 0]
+    assert first == sorted(first)

@@ -163,12 +163,62 @@ def test_packing_and_its_bounds(lengths):
     for b in range(len(left)):
         own = sorted(zip(offsets[bins == b], x[bins == b], strict=True))
         assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) + left[b] == 20
-    assert all(v <= len(left) + 1e-9 for v in packing.dual_feasible_sums(x, 20).values())
+    counts = np.bincount(x, minlength=21)
+    assert all(v <= len(left) + 1e-9 for v in packing.dual_feasible_sums(counts, 20).values())
+
+
+def fewest(lengths, capacity):
+    """The fewest bins, by trying all ways."""
+
+    def fill(rest, rooms, most):
+        if not rest:
+            return len(rooms)
+        if len(rooms) > most:
+            return most + 1
+        n, more = rest[0], rest[1:]
+        for r in set(rooms):
+            if r >= n:
+                i = rooms.index(r)
+                most = min(most, fill(more, [*rooms[:i], r - n, *rooms[i + 1 :]], most))
+        return min(most, fill(more, [*rooms, capacity - n], most)) if len(rooms) < most else most
+
+    return fill(sorted(lengths, reverse=True), [], len(lengths))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_bounds_never_pass_the_fewest(lengths):
+    assert packing.lower_bound(np.bincount(lengths, minlength=21), 20) <= fewest(lengths, 20) <= len(packing.best_fit_decreasing(np.array(lengths), 20)[2])
 
 
 def test_bounds_are_sharp_where_halves_do_not_fit():
-    sums = packing.dual_feasible_sums(np.array([11] * 6), 20)
-    assert math.ceil(max(sums.values()) - 1e-9) == 6
+    assert packing.lower_bound(np.bincount([11] * 6, minlength=21), 20) == 6
+
+
+def pieces_of_lengths(spark, lengths):
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    return spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long")
+
+
+def test_certificates_are_true(spark):
+    """Whatever the partitions are, ``certified`` holds only where no packing of all pieces is smaller."""
+    rng = np.random.default_rng(2)
+    for lengths in ([9, 9, 2, 11, 11, 11], [20, 20, 1], [11, 9, 10, 10, 5, 5, 5, 5], list(rng.integers(1, 21, 9)), list(rng.integers(3, 12, 9))):
+        for partition_pieces in (2, 3, 100):
+            rows = packing.pack_pieces(pieces_of_lengths(spark, [int(x) for x in lengths]), 20, partition_pieces).collect()
+            used = len(check_packed(rows, 20))
+            assert sorted(r.length for r in rows) == sorted(lengths)
+            assert {r.certified for r in rows} == {used <= packing.lower_bound(np.bincount(lengths, minlength=21), 20)}
+            assert not rows[0].certified or used == fewest([int(x) for x in lengths], 20)
+
+
+def test_exchanges_save_what_partitions_leave(spark):
+    rng = np.random.default_rng(3)
+    lengths = [int(x) for x in rng.integers(1, 400, 3_000)]
+    run = lambda **k: packing.pack_pieces(pieces_of_lengths(spark, lengths), 1_000, 200, **k).collect()
+    best, plain, least = run(), run(rounds=0), -(-sum(lengths) // 1_000)
+    assert least <= len(check_packed(best, 1_000)) <= least + 1 < len(check_packed(plain, 1_000))
+    assert best[0].certified == (len(check_packed(best, 1_000)) == least) and not plain[0].certified and all(r.partition_certified for r in plain)
 
 
 control = st.lists(st.sampled_from([*chat_format.CONTROLS, "\\", "<", "[", "|", "a", "\n", "<\\|turn|>", "%0A", "é"]), max_size=8).map("".join)

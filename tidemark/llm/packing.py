@@ -2,13 +2,15 @@
 
 1. Every document becomes token ids and an end id; only documents that are longer than a
    sequence are cut. A piece as long as a sequence fills one.
-2. The other pieces are dealt to partitions of bounded size. Each partition packs its pieces by
-   best-fit decreasing and sums a family of dual feasible functions over them; for each function
-   the sum is a lower bound on the sequences that any packing needs.
-3. Sequences without a gap are final. If all partitions together use more sequences than the
-   largest summed bound, the pieces in sequences with gaps are exchanged: dealt anew over fewer
-   partitions, and packed again. It ends when the bound certifies the number, when one
-   partition has packed all that is left, or when an exchange no longer saves a sequence.
+2. The other pieces are dealt to partitions of bounded size, two at least. Each partition packs its
+   pieces by best-fit decreasing and sums a family of dual feasible functions over them; the
+   largest sum, rounded up, is a lower bound on the sequences that its pieces need. A partition
+   that uses no more is certified.
+3. The same bound over all pieces of the table is held against the number of all sequences. While
+   that is larger, partitions with gaps exchange pieces: an uncertified partition gives those of all
+   its sequences with a gap, a certified one those of its emptiest sequence, which is what rounding
+   up has left. All other sequences are settled. What is given is dealt anew over fewer partitions
+   and packed again. An exchange that uses more sequences than before is undone.
 
 Where the sources are to stay mixed, partitions are contiguous ranges of the rows' positions in the
 mix, and a sequence is numbered by the position of its first piece, its longest. A sequence then holds
@@ -37,6 +39,8 @@ PARTITION_PIECES = 50_000
 #: Pieces in a range of the mix at first, about, and cells that ranges are made of, at most.
 MIXED_PIECES = 4_096
 CELLS = 16_384
+#: Exchanges at most, and those in a row that may save nothing.
+ROUNDS, PATIENCE = 15, 2
 
 
 @cache
@@ -76,14 +80,13 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, schema)
 
 
-def dual_feasible_sums(lengths: np.ndarray, capacity: int) -> dict[str, float]:
-    """For each function of the family the sum over the pieces; none exceeds the sequences that these pieces need.
+def dual_feasible_sums(counts: np.ndarray, capacity: int) -> dict[str, float]:
+    """For each function of the family the sum over the pieces (``counts`` by length); none exceeds the sequences that these pieces need.
 
     The family: the length itself; thresholds that round lengths above ``capacity - e`` up and
     those below ``e`` down; and floors to multiples of ``1 / k`` that are kept where exact.
     """
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.float64)
-    x = np.arange(capacity + 1)
+    n, x = counts.astype(np.float64), np.arange(capacity + 1)
     out = {"volume": float((n * x).sum()) / capacity}
     for parts in (3, 4, 5, 6, 8):
         e = capacity // parts
@@ -96,6 +99,11 @@ def dual_feasible_sums(lengths: np.ndarray, capacity: int) -> dict[str, float]:
     return out
 
 
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that pieces of these ``counts`` by length need at least."""
+    return int(np.ceil(max(dual_feasible_sums(counts, capacity).values()) - 1e-6))
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """The bin and the offset of each piece, and what each bin has left. Ties keep the given order."""
     order = np.argsort(-lengths, kind="stable")
@@ -132,9 +140,12 @@ def mixed_ranges(pieces: DataFrame, parts: int, width: int) -> DataFrame:
     return pieces.withColumn("_cell", cell).join(F.broadcast(inline(pieces.sparkSession, cells, "_cell long, _p long")), "_cell").drop("_cell")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
-    """``pieces`` with ``sequence_id, offset`` and ``certified`` (no packing of these pieces uses fewer sequences).
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
+    """``pieces`` with ``sequence_id, offset, partition_certified`` and ``certified``.
 
+    ``certified``: no packing of all these pieces uses fewer sequences in all, as their lower bound
+    proves. ``partition_certified``: the same of the partition that the sequence was packed in and
+    its pieces. ``rounds``: exchanges at most; where they end the search, ``certified`` is false.
     If ``pieces`` have a ``position``, one for each document, ranges of it are packed and ``sequence_id`` follows it.
     """
     cols = pieces.columns
@@ -142,71 +153,88 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: i
     # a text has less than 2^31 bytes, and no more ids with its end id
     bits = ((1 << 31) // capacity + 1).bit_length()
     number = F.shiftleft("position", bits) + F.col("piece") if mixed else F.monotonically_increasing_id() * 2
-    whole = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")})
+    whole = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": number, "offset": F.lit(0).cast("long"), "partition_certified": F.lit(True)})
     done = [whole]
     todo = pieces.filter(F.col("length") < capacity)
-    n, round_, before, certified = todo.count(), 0, None, True
+    by_length = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length
+    counts = np.bincount(list(by_length), weights=list(by_length.values()), minlength=capacity + 1) if by_length else np.zeros(capacity + 1)
+    bound, settled, n = lower_bound(counts, capacity), int(counts[capacity]), int(counts[:capacity].sum())
     p = width = None
     if mixed and n:
         width = max(1, partition_pieces // 8, -(-(todo.agg(F.max("position")).first()[0] + 1) // CELLS))
-    while n:
-        fewer = p // 4 if mixed and p else None  # equal ranges would be packed as before
-        p = power_of_two(n / partition_pieces)
-        if fewer is not None:
-            p = max(1, min(p, fewer), power_of_two(n / max(partition_pieces, PARTITION_PIECES)))
-        schema = T.StructType([*todo.schema.fields, *(T.StructField(c, T.LongType()) for c in ("bin", "offset", "room")), T.StructField("sums", T.MapType(T.StringType(), T.DoubleType()))])
-
-        def pack(key, table):
-            import pyarrow as pa
-
-            table = table.select(cols).combine_chunks()
-            table = table.sort_by([(c, "ascending") for c in (("position", "piece") if mixed else ("ids_crc32", "start"))])
-            lengths = table.column("length").to_numpy()
-            bins, offsets, left = best_fit_decreasing(lengths, capacity)
-            names = key[0].as_py() << 32 | np.arange(len(left))
-            if mixed:
-                first = offsets == 0
-                names[bins[first]] = ((table.column("position").to_numpy() << bits) + table.column("piece").to_numpy())[first]
-            sums = [list(dual_feasible_sums(lengths, capacity).items())] + [None] * (len(lengths) - 1)
-            for name, values in (("bin", names[bins]), ("offset", offsets), ("room", np.array(left, np.int64)[bins])):
-                table = table.append_column(name, pa.array(values, pa.int64()))
-            return table.append_column("sums", pa.array(sums, pa.map_(pa.string(), pa.float64())))
+    schema = T.StructType([*todo.schema.fields, *(T.StructField(c, T.LongType()) for c in ("bin", "offset")), T.StructField("partition_certified", T.BooleanType()), T.StructField("given", T.BooleanType())])
 
+    def pack(key, table):
+        import pyarrow as pa
+
+        table = table.select(cols).combine_chunks()
+        table = table.sort_by([(c, "ascending") for c in (("position", "piece") if mixed else ("ids_crc32", "start"))])
+        lengths = table.column("length").to_numpy()
+        bins, offsets, left = best_fit_decreasing(lengths, capacity)
+        room = np.array(left, np.int64)
+        certified = len(left) <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        given = room > 0
+        if certified:
+            given &= np.arange(len(room)) == room.argmax()
+        names = key[0].as_py() << 32 | np.arange(len(left))
+        if mixed:
+            first = offsets == 0
+            names[bins[first]] = ((table.column("position").to_numpy() << bits) + table.column("piece").to_numpy())[first]
+        for name, values in (("bin", names[bins]), ("offset", offsets)):
+            table = table.append_column(name, pa.array(values, pa.int64()))
+        return table.append_column("partition_certified", pa.array(np.full(len(lengths), certified))).append_column("given", pa.array(given[bins]))
+
+    def named(packed, round_):
+        name = F.col("bin") if mixed else (F.col("bin") * (rounds + 1) + round_) * 2 + 1
+        return packed.select(*cols, name.alias("sequence_id"), "offset", "partition_certified")
+
+    before = before_used = None  # the placement of ``todo`` in the exchange before
+    idle = round_ = 0
+    while n:
+        needed = power_of_two(n / max(partition_pieces, PARTITION_PIECES if p else 1))
+        p = max(2, power_of_two(n / partition_pieces)) if p is None else max(1, needed, min(power_of_two(n / partition_pieces), p // (4 if mixed else 2)))
         if mixed:
             dealt = mixed_ranges(todo, p, width)
         else:
             dealt = todo.withColumn("_p", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.lit(round_)), F.lit(p)))
         packed = materialize(dealt.groupBy("_p").applyInArrow(pack, schema), f"packed-{round_}")
-        used = packed.filter("offset = 0").count()
-        sums = packed.select(F.explode("sums")).groupBy("key").agg(F.sum("value").alias("bound")).collect()
-        bound = max((int(-(-(r.bound - 1e-6) // 1)) for r in sums), default=0)
-        name = F.col("bin") if mixed else (F.col("bin") * 16 + min(round_, 15)) * 2 + 1
-        final = used <= bound or p == 1 or round_ == 15 or (before is not None and used >= before)
-        certified = used <= bound
-        settled = packed if final else packed.filter("room = 0")
-        done.append(settled.select(*cols, name.alias("sequence_id"), "offset"))
-        if final:
+        first = F.col("offset") == 0
+        sums = packed.agg(F.count(F.when(first, 1)).alias("used"), F.count(F.when(first & F.col("given"), 1)).alias("given"), F.count(F.when(F.col("given"), 1)).alias("n")).first()
+        worse = before_used is not None and sums.used > before_used
+        idle = idle + 1 if before_used is not None and sums.used >= before_used else 0
+        proven = settled + sums.used <= bound
+        over = proven or p == 1 or round_ == rounds or idle == PATIENCE or sums.n == 0
+        if worse and over:
+            done.append(before)
+            settled += before_used
             break
-        todo = packed.filter("room > 0").select(*cols)
-        n = todo.count()
-        before = used - packed.filter("room = 0 and offset = 0").count()
+        if not worse:
+            if over:
+                done.append(named(packed, round_))
+                settled += sums.used
+                break
+            done.append(named(packed.filter("NOT given"), round_))
+            settled += sums.used - sums.given
+            given = packed.filter("given")
+            todo, n, before, before_used = given.select(*cols), sums.n, named(given, round_), sums.given
         round_ += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.withColumn("certified", F.lit(certified))
+    return out.withColumn("certified", F.lit(settled <= bound))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
-    """Packs all rows; one row a piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset, certified``.
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
+    """Packs all rows; one row a piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset, partition_certified, certified``.
 
     A null text is empty: the end id alone. Null and repeated ids are packed as rows of their own.
     Very long texts are cut into pieces of ``capacity`` ids, the last of which may be shorter.
-    Pieces fill a sequence from offset 0 without gaps. ``certified`` says that the lower bound of
-    the last exchange proves the number of sequences. Other columns are not read. No rows give no rows.
+    Pieces fill a sequence from offset 0 without gaps. ``certified`` says that the lower bound over
+    all pieces proves the number of all sequences; see ``pack_pieces``. Other columns are not read,
+    whatever their names. No rows give no rows.
     """
     pieces = materialize(cut_documents(docs, id_col, text_col, vocabulary, capacity, end_id), "pieces")
-    return pack_pieces(pieces, capacity, partition_pieces).withColumnRenamed("id", id_col)
+    return pack_pieces(pieces, capacity, partition_pieces, rounds).withColumnRenamed("id", id_col)
 
 
 def pack_mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID, partition_pieces: int = MIXED_PIECES) -> DataFrame:

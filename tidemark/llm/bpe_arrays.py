@@ -230,27 +230,44 @@ class WordBpe:
         self.odd = regex.compile(r"[\x1c-\x1f]")
         self.space = regex.compile(rf"[^{SPACE}]+")
         self.normal = self.library.normalizer
-        self.cache = ChunkCache(self._ids)
+        self.marks = frozenset(".,;:!?")
+        self.cache, self.words = ChunkCache(self._ids), ChunkCache(self._merged)
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        ids, sizes = self.merger.merge([w.encode("utf-8", "surrogatepass") for w in words])
+        raw, ends = ids.astype("<u4").tobytes(), [0, *(np.cumsum(sizes) * 4).tolist()]
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _pieces(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The words of what stands between white space; no special string is in it."""
+        if chunk.isascii():
+            text = chunk.lower()
+        else:
+            # Python lowers a final sigma in another way
+            text = self.normal.normalize_str(chunk) if "\u03a3" in chunk or SETTLED.search(chunk) else unicodedata.normalize("NFC", chunk).lower()
+            if SETTLED.search(text):
+                return library_pieces(self.library, text)
+        if text.isalpha():
+            return (text,)
+        if text[-1:] in self.marks and text[:-1].isalpha():
+            return text[:-1], text[-1]
+        return self.fine.findall(text)
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        words, spans, out = [], [], [b""] * len(chunks)
+        pieces, whole = [], {}
         for i, c in enumerate(chunks):
             if "<" in c and self.special.search(c):
-                out[i] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            # Python lowers a final sigma in another way
-            text = self.normal.normalize_str(c) if "\u03a3" in c or SETTLED.search(c) else unicodedata.normalize("NFC", c).lower()
-            pieces = self.fine.findall(text) if not SETTLED.search(text) else library_pieces(self.library, text)
-            spans.append((i, len(words), len(words) + len(pieces)))
-            words += pieces
-        unique = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        ids, sizes = self.merger.merge([w.encode("utf-8", "surrogatepass") for w in unique])
-        ends = np.cumsum(sizes) * 4
-        raw = ids.astype("<u4").tobytes()
-        ends = [0, *ends.tolist()]
-        of = [raw[ends[k] : ends[k + 1]] for k in range(len(unique))]
-        for i, a, b in spans:
-            out[i] = b"".join([of[unique[w]] for w in words[a:b]]) if b - a > 1 else (of[unique[words[a]]] if b > a else b"")
+                whole[i] = np.array(self.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+                pieces.append(())
+            else:
+                pieces.append(self._pieces(c))
+        found, out, at = self.words.of([w for own in pieces for w in own]), [], 0
+        for own in pieces:
+            n = len(own)
+            out.append(found[at] if n == 1 else b"".join(found[at : at + n]))
+            at += n
+        for i, raw in whole.items():
+            out[i] = raw
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -20,7 +20,7 @@ def odd(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(0) for c in ("id", "h", "n", "score", "bucket", "row", "label", "key", "slot")})
+    return df.withColumns({c: F.lit(0) for c in ("id", "h", "n", "score", "predicted", "bucket", "row", "label", "key", "slot", "uid", "position", "_gone", "_mix_id", "_row_id", "_nth", "a.b")})
 
 
 @pytest.fixture(scope="session")

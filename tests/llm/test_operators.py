@@ -28,30 +28,78 @@ def test_exact_dedup_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([2, 4, 5, 7, 8, 9], key=str)
 
 
-def test_directory_splits_only_overfull_buckets():
-    cells = {0: 5, 1: 5, 2: 1, 3: 1, 6: 2}
-    found = exact_dedup.directory(cells, 3, 6)
-    assert found == [(0, 1, 3), (1, 2, 3), (2, 4, 2), (4, 8, 1)]
+def test_directory_splits_only_overfull_buckets(spark):
+    """Keys that share their leading bits make the directory double; a chain of one key is not split."""
+    keys = [1 << 62 | i << 40 for i in range(8)] + [i << 60 for i in range(-8, 0)] + [5] * 9
+    entries = spark.createDataFrame([(k, f"{i:02}") for i, k in enumerate(keys)], "h long, sha string")
+    index, cells, depth = exact_dedup.build_index(entries, 4)
+    rows = index.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.bucket, []).append(r)
+    assert sorted(r.h for r in rows) == sorted(keys)
+    assert all(len(x) <= 4 or len({r.h for r in x}) == 1 for x in by.values())
+    assert sorted(r.link for r in rows if r.h == 5) == list(range(1, 10))
+    unsigned = lambda h: h % (1 << 64)
+    found = {r.cell: (r.bucket, r.local_depth) for r in cells.collect()}
+    assert all(found[unsigned(r.h) >> (64 - depth)][0] == r.bucket for r in rows)
+    assert depth > max(d for _, d in found.values()) - 1 and len({d for _, d in found.values()}) > 1
+    assert all(unsigned(r.h) >> (64 - found[unsigned(r.h) >> (64 - depth)][1]) == unsigned(r.bucket) >> (64 - found[unsigned(r.h) >> (64 - depth)][1]) for r in rows)
 
 
 def test_colliding_keys_stay_apart(spark, monkeypatch):
     real = F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: real(*c) * 0)
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(rows).collect()}
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(rows, capacity=1).collect()}
     assert got == {1: (3, 2), 3: (3, 2), 2: (2, 1)}
 
 
+def test_copies_of_one_text_and_no_id(spark):
+    """A hot text is dealt over pages; of its rows without an id one stays."""
+    rows = spark.createDataFrame([(None, "same") for _ in range(3_000)] + [(i, f"own {i}") for i in range(3_000)], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(rows).filter("doc_id IS NULL").groupBy("kept", "keep_id", "group_size").count().collect()
+    assert sorted(map(tuple, got)) == [(False, None, 3_000, 2_999), (True, None, 3_000, 1)]
+    assert exact_dedup.drop_copies(rows).count() == 3_001
+
+
+def test_paged_join_deals_hot_keys(spark):
+    from tidemark.llm.common import PAGES, paged_join
+
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    entries = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    joined = paged_join(rows, entries, ["k"], "n", 20_000, F.col("id"))
+    assert joined.columns == ["k", "id", "n", "v"] and joined.filter("v = 2 * k").count() == 20_000 and joined.select("id").distinct().count() == 20_000
+    assert entries.filter(F.col("n") * PAGES > 20_000).count() == 1
+
+
 def test_mixing_of_odd_rows(odd, empty):
     rows = mixing.mix_sources(odd, block_rows=2).collect()
     assert len(rows) == 10 and len({r.position for r in rows}) == 10 and "" in {r.source for r in rows}
     assert mixing.mix_sources(empty).count() == 0
+    few = mixing.mix_sources(odd, block_rows=2, max_sources=2).collect()
+    assert len(few) == 10 and len({r.position for r in few}) == 10 and {r.source for r in few} == {r.source for r in rows}
     ordered = mixing.mixed_order(odd)
-    assert ordered.columns == odd.columns and ordered.count() == 10
+    assert ordered.columns == odd.columns and Counter(map(tuple, ordered.collect())) == Counter(map(tuple, odd.collect()))
+    assert mixing.mixed_order(empty).columns == odd.columns and mixing.mixed_order(empty).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(odd, {"a": 0})
 
 
+def test_mixing_of_many_rows_without_an_id(spark):
+    rows = spark.range(4_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("source"))
+    got = mixing.mix_sources(rows.unionAll(rows.filter("doc_id = 2").withColumn("doc_id", F.lit(2).cast("long"))), {"a": 2, "b": 2}).collect()
+    assert len(got) == 4_001 and len({r.position for r in got}) == 4_001
+    slots = sorted({(r.slot, r.source) for r in got if r.phase == 0})
+    assert [s for _, s in slots[:6]] in (["a", "b"] * 3, ["b", "a"] * 3)  # 2 to 2 is 1 to 1
+
+
+def test_weights_are_reduced():
+    assert mixing.reduced({"a": 30, "b": 20}) == {"a": 3, "b": 2} and mixing.reduced({}) == {}
+    large = mixing.reduced({"a": 10**12, "b": 3 * 10**12 + 1, "c": 1})
+    assert sum(large.values()) <= mixing.FRAME_SLOTS // 3 + 1 and large["c"] == 1 and abs(large["b"] / large["a"] - 3) < 1e-4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdefgh"), st.tuples(st.integers(1, 40), st.integers(1, 60)), min_size=1))
 def test_frames_keep_deadlines_and_lag(spec):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,33 +20,87 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session gets one of its own."""
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def _own_tables(spark: SparkSession) -> list[str]:
+    """Paths that this session has written and not removed yet."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemark_tables"):
+        context._tidemark_tables = []
+    return context._tidemark_tables
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet below the shared folder and reads it back.
 
     A lost executor costs nothing then, as the files are not on its disk. The folder is named
-    afresh each time; ``discard`` removes what a finished run has left.
+    afresh each time; ``discard`` removes what this session has left.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _own_tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
-    """Removes every table that ``materialize`` has written below the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def written(spark: SparkSession) -> int:
+    """A mark for ``discard``."""
+    return len(_own_tables(spark))
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the tables that this session's ``materialize`` has written since a mark, but for the last ``keep``; frames that read them no longer work."""
+    own = _own_tables(spark)
+    gone = own[since : len(own) - keep]
+    for path in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    own[since : len(own) - keep] = []
+
+
+#: Parts that a key with more than its share of rows is dealt to, and keys that can have such a share.
+PAGES = 1_000
+
+
+def hot_keys(counts: DataFrame, n: str, total: int) -> DataFrame:
+    """Keys with more than a thousandth of ``total`` rows, with ``_pages`` of about that size; at most ``PAGES`` rows, as their counts sum to ``total`` at most."""
+    total = max(1, total)
+    return counts.filter(F.col(n) * PAGES > total).withColumn("_pages", F.ceil(F.col(n) * PAGES / total).cast("int"))
+
+
+def paged_join(rows: DataFrame, entries: DataFrame, on: Sequence[str], n: str, total: int, deal: Column) -> DataFrame:
+    """``rows`` joined to ``entries``, which have one row a key and in ``n`` the rows of that key, ``total`` of them together.
+
+    A hot key's entry is copied to pages and its rows are dealt over them by ``deal``, so that no
+    task gets all rows of a key, whatever its share. Keys are not null. Entries are read twice.
+    """
+    hot = hot_keys(entries, n, total).select(*[F.col(c).alias(f"_hot_{c}") for c in on], "_pages")
+    same = [F.col(c) == F.col(f"_hot_{c}") for c in on]
+    dealt = rows.join(F.broadcast(hot), functools.reduce(operator.and_, same), "left")
+    dealt = dealt.withColumn("_page", F.coalesce(F.pmod(F.xxhash64(deal), "_pages"), F.lit(0)).cast("int")).drop("_pages", *[f"_hot_{c}" for c in on])
+    pages = F.when(F.col(n) * PAGES > max(1, total), F.ceil(F.col(n) * PAGES / max(1, total)).cast("int")).otherwise(1)
+    copied = entries.withColumn("_page", F.explode(F.sequence(F.lit(0), pages - 1)))
+    return dealt.join(copied, [*on, "_page"]).drop("_page")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct, so that no helper's name can clash with theirs; ``select("<name>.*")`` gives them back."""
+    return F.struct(F.col("*"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if a scan gives fewer; what is done row by row then uses them all."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

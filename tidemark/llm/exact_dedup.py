@@ -1,68 +1,94 @@
 """Exact deduplication over an extendible-hash index kept in shared files.
 
-1. Every text gets a 64-bit key. Rows of one key are counted where they are read, so that the
-   index has one entry a key, however many copies a text has.
-2. A directory over the leading bits of the keys is doubled until no bucket is over its
-   capacity; buckets that fit share one entry, as in extendible hashing. Buckets are dealt to
-   owner tasks by key range, each of which writes one sorted index file.
-3. Keys that only one row has are settled by the index alone. The rows of all other keys meet
-   as whole texts: texts of one key form a chain whose links are compared byte by byte, so that
-   colliding texts stay apart.
-
-Only DataFrame functions are used. A key's copies are never gathered: they are pre-aggregated
-before each shuffle, and the joins back are ones that adaptive execution can split.
+1. Every text gets a 64-bit key. Copies are combined where they are read and meet as whole texts,
+   which are compared byte by byte: one entry for each different text, with its number of copies.
+2. A directory over the leading bits of the keys says which bucket a key is in. It begins at the
+   depth that the number of entries asks for; a bucket over its capacity is split by one more bit
+   and the directory doubles, until only chains of one key are longer than a bucket. Executors
+   count and split; the driver sees whether a bucket is overfull, and nothing of the directory.
+3. Owner tasks take ranges of buckets, put the entries of each key into a chain and write one
+   sorted index file each.
+4. Every row looks up its bucket in the directory and meets that bucket's entries there, by key and
+   by the digest that tells the links of a chain apart.
+
+Only DataFrame functions are used. The rows of a text with more than a thousandth of all rows are
+dealt over pages, to each of which the entry is copied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import inline, materialize, power_of_two, text_of
+from .common import materialize, paged_join, power_of_two, row_of, text_of
 
 #: Index entries that a bucket holds before it is split.
 BUCKET_CAPACITY = 65_536
-#: Cells of the finest histogram for each bucket that a full directory would have.
-SLACK = 8
+#: Cells of a directory that may be sent to all tasks; a larger one is joined by shuffle.
+DIRECTORY_CELLS = 1 << 20
 
 
-def directory(cells: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """Splits buckets by one more leading bit while they are overfull; (first cell, end cell, local depth) in key order.
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
 
-    ``cells`` counts the entries by the first ``depth`` bits of their keys.
-    """
-    out, todo = [], [(0, 1 << depth, 0)]
-    while todo:
-        first, end, local = todo.pop()
-        if local < depth and sum(cells.get(c, 0) for c in range(first, end)) > capacity:
-            mid = (first + end) // 2
-            todo += [(mid, end, local + 1), (first, mid, local + 1)]
-        else:
-            out.append((first, end, local))
-    return out
-
-
-def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
-    """``entries`` (one row a key, column ``h``) with its bucket, written as files of owned key ranges and read back.
-
-    The driver sees only the histogram over key prefixes: at most ``2 * SLACK`` cells for each
-    ``capacity`` entries, 16 MB at 10^11 entries.
+
+def directory(entries: DataFrame, capacity: int = BUCKET_CAPACITY) -> tuple[DataFrame, int]:
+    """``cell, bucket, local_depth`` for the cells of a directory over the keys ``h`` of ``entries``, and its depth.
+
+    ``cell`` are the first ``depth`` bits of a key; a bucket of a lower local depth has several
+    cells. ``bucket`` is the bucket's first key. Cells without keys are left out. A bucket of
+    which all entries share one key is not split, as no bit tells them apart.
     """
-    spark = entries.sparkSession
-    entries = materialize(entries, "dedup-entries")
-    n = entries.count()
-    depth = power_of_two(n / capacity * SLACK).bit_length() - 1
+    depth = power_of_two(entries.count() / capacity).bit_length() - 1
+    left, leaves = entries.select("h"), []
     while True:
-        prefix = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
-        cells = {r.c: r["count"] for r in entries.groupBy(prefix.alias("c")).count().collect()}
-        if depth >= 40 or max(cells.values(), default=0) <= capacity:
+        cells = left.groupBy(_prefix(depth).alias("cell")).agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("splits"))
+        cells = materialize(cells.withColumn("over", F.col("splits") & (F.col("n") > capacity)), "dedup-cells")
+        leaves.append(cells.filter("NOT over").select("cell", F.lit(depth).alias("local_depth")))
+        over = cells.filter("over").select("cell")
+        if depth == 64 or over.isEmpty():
             break
-        depth += 1  # the directory doubles
-    found = directory(cells, depth, capacity)
-    buckets = inline(spark, [{"bucket": i, "c": c, "depth": d} for i, (a, b, d) in enumerate(found) for c in range(a, b)], "bucket long, c long, depth int")
-    owned = entries.withColumn("c", prefix).join(F.broadcast(buckets), "c").drop("c")
-    return materialize(owned.repartitionByRange(max(1, len(found)), "bucket", "h").sortWithinPartitions("bucket", "h"), "dedup-index")
+        left = left.withColumn("cell", _prefix(depth)).join(over, "cell", "left_semi").select("h")
+        depth += 1
+    found = leaves[0]
+    for more in leaves[1:]:
+        found = found.unionByName(more)
+    below = F.expr(f"shiftleft(1L, {depth} - local_depth)")
+    first = F.expr(f"shiftleft(cell, {depth} - local_depth)")
+    bucket = F.expr("CASE WHEN local_depth = 0 THEN 0L ELSE shiftleft(cell, 64 - local_depth) END")
+    cells = found.select(F.explode(F.sequence(first, first + below - 1)).alias("cell"), bucket.alias("bucket"), "local_depth")
+    return materialize(cells, "dedup-directory"), depth
+
+
+def in_buckets(rows: DataFrame, cells: DataFrame, depth: int) -> DataFrame:
+    """``rows`` with the bucket of their key ``h``."""
+    cells = cells.select("cell", "bucket")
+    small = cells.count() <= DIRECTORY_CELLS
+    return rows.withColumn("cell", _prefix(depth)).join(F.broadcast(cells) if small else cells, "cell").drop("cell")
+
+
+def build_index(entries: DataFrame, capacity: int = BUCKET_CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index files of ``entries`` (one row for each different text, columns ``h, sha``), with ``bucket`` and the ``link`` of its key's chain, and the directory with its depth."""
+    cells, depth = directory(entries, capacity)
+    owned = in_buckets(entries, cells, depth).repartitionByRange(max(1, cells.select("bucket").distinct().count()), "bucket", "h")
+    chained = owned.withColumn("link", F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha")))
+    return materialize(chained.sortWithinPartitions("bucket", "h", "link"), "dedup-index"), cells, depth
+
+
+def linked_rows(rows: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
+    """``id, text`` and, if rows have a stable number already, ``uid`` to ``uid, id, keep_id, group_size, kept, sha``."""
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    uid = F.col("uid") if "uid" in rows.columns else F.monotonically_increasing_id()
+    # written once, so that a number stays the same row's even if a task is run again
+    numbered = materialize(keyed.select(uid.alias("uid"), "id", "h", F.sha2("text", 256).alias("sha")), "dedup-rows")
+    texts = keyed.groupBy("h", "text").agg(F.count("*").alias("n"), F.max("id").alias("keep_id")).select("h", F.sha2("text", 256).alias("sha"), "n", "keep_id")
+    # of rows that repeat both the largest id and the text, any one
+    keepers = numbered.groupBy("h", "sha").agg(F.coalesce(F.max_by("uid", "id"), F.min("uid")).alias("keep_uid"))
+    entries = materialize(texts.join(keepers, ["h", "sha"]), "dedup-entries")
+    index, cells, depth = build_index(entries, capacity)
+    met = paged_join(in_buckets(numbered, cells, depth), index, ["bucket", "h", "sha"], "n", numbered.count(), F.col("uid"))
+    return met.select("uid", "id", "keep_id", F.col("n").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"), "sha")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY) -> DataFrame:
@@ -74,24 +100,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are compared whole. Other columns are not read, whatever their names. No rows give no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    entries = keyed.select("h", "id", F.sha2("text", 256).alias("sha")).groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("id"), F.max("sha").alias("sha"))
-    index = build_index(entries, capacity)
-    single = index.filter("n = 1").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-
-    shared = materialize(keyed.join(index.filter("n > 1").select("h"), "h", "left_semi"), "dedup-shared")
-    chains = shared.groupBy("h", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    linked = shared.join(chains, ["h", "text"]).select("id", "keep_id", "group_size", F.sha2("text", 256).alias("sha"))
-    nth = F.row_number().over(W.partitionBy("id", "sha").orderBy("keep_id"))
-    copies = linked.withColumn("nth", nth).select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha")
-    return single.unionByName(copies).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    cols = docs.columns
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumns({"_row_id": F.col(id_col), "_row_sha": F.sha2(text_of(text_col), 256)})
-    joined = marked.join(kept, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_sha") == F.col("_kept_sha")), "left_semi")
-    # ids that several rows share along with the text: one of them stays
-    return joined.withColumn("_nth", F.row_number().over(W.partitionBy("_row_id", "_row_sha").orderBy(F.lit(0)))).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in cols])
+    out = linked_rows(rows, capacity)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
+
+    Null texts count as empty and stay null in the row that is kept. Of rows that repeat both the
+    id and the text one stays, even if other columns differ. No rows give no rows.
+    """
+    marked = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    marked = materialize(marked.withColumn("uid", F.monotonically_increasing_id()), "dedup-input")
+    kept = linked_rows(marked.select("uid", "id", "text"), capacity).filter("kept").select("uid")
+    return marked.select("uid", "row").join(kept, "uid", "left_semi").select("row.*")

@@ -10,28 +10,40 @@ no blocks left, a new phase begins in which the others keep their relative weigh
 
 The frames come from the weights and the number of blocks of each source alone. On the rows
 only DataFrame functions run: rows of a source are spread over hashed buckets, counted there
-and numbered within a bucket, so that a source with most of the rows is no hot key.
+and numbered within a bucket, so that neither a source with most of the rows nor an id that many
+rows share is a hot key.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import inline, power_of_two
+from .common import hot_keys, materialize, power_of_two, row_of
 
 #: Rows in a block.
 BLOCK_ROWS = 16
-#: Rows that a hashed bucket is meant to hold.
-BUCKET_ROWS = 8_192
+#: Rows that a hashed bucket is meant to hold, and buckets of the largest source at least.
+BUCKET_ROWS, BUCKETS = 8_192, 256
 #: What default weights sum to, about.
 PARTS = 1_000
-#: Sources that may be mixed, as the driver keeps a line for each.
-MAX_SOURCES = 4_096
+#: Sources that have a place of their own in the schedule; the rarest beyond that share one.
+MAX_SOURCES = 1_024
+#: Slots of all frames together; weights whose sum would lead to more are rounded to a smaller sum.
+FRAME_SLOTS = 1 << 20
+
+
+def reduced(weights: Mapping[str, int]) -> dict[str, int]:
+    """The weights without their common divisor, rounded to a smaller sum (1 at least each) if their frames would have more than ``FRAME_SLOTS`` slots."""
+    shared = math.gcd(*weights.values()) if weights else 1
+    out, most = {s: w // shared for s, w in weights.items()}, FRAME_SLOTS // max(1, len(weights))
+    total = sum(out.values())
+    return out if total <= most else {s: max(1, w * most // total) for s, w in out.items()}
 
 
 def frame(weights: Mapping[str, int]) -> dict[str, list[int]]:
@@ -83,61 +95,88 @@ def balanced_weights(counts: Mapping[str, int], exponent: float = 0.5, parts: in
     return {s: max(1, round(max(parts, len(counts)) * n**exponent / total)) for s, n in counts.items()}
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, keep: Sequence[str] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, keep: Sequence[str] = (), max_sources: int = MAX_SOURCES) -> DataFrame:
     """Each row's place in the mix: ``id_col, source, block, phase, slot, release, deadline, position``.
 
     ``slot`` is the place of the row's block in the schedule, from 0 and without gaps; ``release``
     and ``deadline`` bound it (``release <= slot < deadline``). ``position`` orders the rows:
     ``slot * block_rows`` plus the place in the block; a source's last block may be shorter.
-    ``weights`` are integers by source; absent sources get weight 1. By default they are
-    proportional to the square root of a source's rows. A null source counts as the source ``''``.
-    Within a source, rows follow a hash of their id, then the id; null ids come last and rows
-    that repeat an id are placed one after the other. Every row is placed exactly once; none is
-    dropped or repeated. No rows give no rows. Only the two named columns are read, and those
-    in ``keep``, which are given back; their names must not be used here.
+    ``weights`` are integers by source; absent sources get weight 1 (see ``reduced`` for large
+    sums). By default they are proportional to the square root of a source's rows. Of more than
+    ``max_sources`` sources, the rarest share one place and the sum of their weights, in which
+    their rows follow a hash. A null source counts as the source ``''``.
+    Within a source, rows follow a hash of their id, then the id. Rows with a null id, and rows of
+    an id with more than a thousandth of all rows, follow a hash of their number in the input.
+    Every row is placed exactly once; none is dropped or repeated. No rows give no rows. Only the
+    two named columns are read, and those in ``keep``, which are given back; the latter must not
+    have a name that this function returns or one that begins with ``_mix``.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *keep)
     spark = docs.sparkSession
-    counts = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    parts = balanced_weights(counts) if weights is None else {s: int(weights.get(s, 1)) for s in counts}
+    rows = docs.select(F.col(id_col).alias("_mix_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), *keep)
+    # written once, so that a row's number stays the same even if a task is run again
+    rows = materialize(rows.withColumn("_mix_uid", F.monotonically_increasing_id()), "mix-rows")
+    sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
+    total = rows.count()
+    counts = {r.source: r.n for r in sizes.orderBy(F.desc("n"), "source").limit(max_sources).collect()}
+    listed = sum(counts.values())
+    names = list(counts)
+    group = F.coalesce(F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("source")) - 1, F.lit(-1))
+    group = F.when(group < 0, F.lit(len(names))).otherwise(group).cast("int")
+    parts = {s: int(weights.get(s, 1)) for s in counts} if weights is not None else {}
     if any(p < 1 for p in parts.values()):
         raise ValueError("weights must be positive integers")
+    if listed < total:  # the rest of the sources, as one
+        rest = f"{len(names)} and more"
+        names.append(rest)
+        counts[rest] = total - listed
+        if weights is not None:
+            own = F.when(F.lit(False), 1)
+            for s, w in weights.items():
+                own = own.when(F.col("source") == s, int(w))
+            parts[rest] = sizes.filter(~F.col("source").isin(names)).agg(F.sum(own.otherwise(1))).first()[0]
+    parts = reduced(parts) if weights is not None else balanced_weights(counts)
     plan = phases(parts, {s: -(-n // block_rows) for s, n in counts.items()})
-    by_source = [{"source": s, "plan": [{k: v for k, v in p.items() if k != "source"} for p in plan if p["source"] == s]} for s in counts]
-    planned = inline(spark, by_source, "source string, plan array<struct<phase int, first long, end long, base long, parts long, total long, slots array<long>>>")
-
-    n_buckets = power_of_two(max(counts.values(), default=0) / BUCKET_ROWS * 2)
-    key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(7))
-    dealt = rows.withColumns({"key": key}).withColumn("bucket", F.shiftrightunsigned("key", 64 - (n_buckets.bit_length() - 1)) if n_buckets > 1 else F.lit(0).cast("long"))
-    sizes = dealt.groupBy("source", "bucket").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(W.partitionBy("source").orderBy("bucket")) - F.col("size")).drop("size")
-    nth = F.row_number().over(W.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_last()))
-    # counts of buckets are as many as (source, bucket) pairs: joined by shuffle on the key that numbering has already dealt by
-    numbered = dealt.withColumn("nth", nth).join(before, ["source", "bucket"]).withColumn("n", F.col("before") + F.col("nth") - 1)
+    fields = ("phase", "first", "end", "base", "parts", "total", "slots")
+    by_group = [[] for _ in names]
+    place = {s: i for i, s in enumerate(names)}
+    for p in plan:
+        by_group[place[p["source"]]].append(tuple(p[k] for k in fields))
+    schema = "_mix_group int, _mix_plan array<struct<phase: int, first: bigint, end: bigint, base: bigint, parts: bigint, total: bigint, slots: array<int>>>"
+    # one row a group, and no more than FRAME_SLOTS slots in all
+    planned = materialize(spark.createDataFrame(list(enumerate(by_group)), schema).coalesce(1), "mix-plan")
+
+    n_buckets = power_of_two(max(BUCKETS, max(counts.values(), default=0) / BUCKET_ROWS * 2))
+    hot = hot_keys(rows.filter("_mix_id IS NOT NULL").groupBy("_mix_id").agg(F.count("*").alias("n")), "n", total).select(F.col("_mix_id").alias("_mix_hot"))
+    known = rows.join(F.broadcast(hot), F.col("_mix_id") == F.col("_mix_hot"), "left")
+    by_number = F.col("_mix_id").isNull() | F.col("_mix_hot").isNotNull()
+    key = F.when(by_number, F.xxhash64("_mix_uid", F.lit(8))).otherwise(F.xxhash64(F.col("_mix_id").cast("string"), F.lit(7)))
+    dealt = known.withColumns({"_mix_key": key, "_mix_group": group}).withColumn("_mix_bucket", F.shiftrightunsigned("_mix_key", 64 - (n_buckets.bit_length() - 1)))
+    in_bucket = dealt.groupBy("_mix_group", "_mix_bucket").agg(F.count("*").alias("_mix_size"))
+    before = in_bucket.withColumn("_mix_before", F.sum("_mix_size").over(W.partitionBy("_mix_group").orderBy("_mix_bucket")) - F.col("_mix_size")).drop("_mix_size")
+    nth = F.row_number().over(W.partitionBy("_mix_group", "_mix_bucket").orderBy("_mix_key", F.col("_mix_id").asc_nulls_last(), "_mix_uid"))
+    # counts of buckets are as many as (group, bucket) pairs: joined by shuffle on the key that numbering has already dealt by
+    numbered = dealt.withColumn("_mix_nth", nth).join(before, ["_mix_group", "_mix_bucket"]).withColumn("_mix_n", F.col("_mix_before") + F.col("_mix_nth") - 1)
     placed = (
-        numbered.withColumns({"block": F.floor(F.col("n") / block_rows), "within": F.col("n") % block_rows})
-        .join(F.broadcast(planned), "source")
-        .withColumn("p", F.expr("filter(plan, x -> x.first <= block and block < x.end)[0]"))
-        .withColumn("i", F.expr("block - p.first"))
-        .withColumn("slot", F.expr("p.base + (i div p.parts) * p.total + p.slots[cast(i % p.parts as int)]"))
+        numbered.withColumns({"_mix_block": F.floor(F.col("_mix_n") / block_rows), "_mix_within": F.col("_mix_n") % block_rows})
+        .join(F.broadcast(planned), "_mix_group")
+        .withColumn("_mix_p", F.expr("filter(_mix_plan, x -> x.first <= _mix_block and _mix_block < x.end)[0]"))
+        .withColumn("_mix_i", F.expr("_mix_block - _mix_p.first"))
+        .withColumn("_mix_slot", F.expr("_mix_p.base + (_mix_i div _mix_p.parts) * _mix_p.total + _mix_p.slots[cast(_mix_i % _mix_p.parts as int)]"))
     )
     return placed.select(
-        F.col("id").alias(id_col), "source", "block", F.col("p.phase").alias("phase"), "slot",
-        F.expr("p.base + i * p.total div p.parts").alias("release"),
-        F.expr("p.base + ((i + 1) * p.total + p.parts - 1) div p.parts").alias("deadline"),
-        (F.col("slot") * block_rows + F.col("within")).alias("position"), *keep,
+        F.col("_mix_id").alias(id_col), "source", F.col("_mix_block").alias("block"), F.col("_mix_p.phase").alias("phase"), F.col("_mix_slot").alias("slot"),
+        F.expr("_mix_p.base + _mix_i * _mix_p.total div _mix_p.parts").alias("release"),
+        F.expr("_mix_p.base + ((_mix_i + 1) * _mix_p.total + _mix_p.parts - 1) div _mix_p.parts").alias("deadline"),
+        (F.col("_mix_slot") * block_rows + F.col("_mix_within")).alias("position"), *keep,
     )
 
 
 def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """All rows and columns of ``docs`` in the order of the mix: partitions and the rows in them are sorted by position."""
-    cols = docs.columns
-    places = mix_sources(docs, weights, source_col, id_col).select(F.col(id_col).alias("_mix_id"), F.col("source").alias("_mix_source"), "position")
-    places = places.groupBy("_mix_id", "_mix_source").agg(F.sort_array(F.collect_list("position")).alias("_mix_places"))
-    same = W.partitionBy("_row_id", "_row_source").orderBy(F.lit(0))
-    rows = docs.withColumns({"_row_id": F.col(id_col), "_row_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
-    rows = rows.withColumn("_row_nth", F.row_number().over(same))  # rows that repeat an id take its places in turn
-    joined = rows.join(places, F.col("_row_id").eqNullSafe(F.col("_mix_id")) & (F.col("_row_source") == F.col("_mix_source")))
-    return joined.withColumn("_place", F.expr("_mix_places[_row_nth - 1]")).repartitionByRange("_place").sortWithinPartitions("_place").select(*[F.col(f"`{c}`") for c in cols])
+    """All rows and columns of ``docs``, whatever their names, in the order of the mix: partitions and the rows in them are sorted by position.
+
+    Null sources count as ``''`` and stay null; null and repeated ids are rows of their own. No rows give no rows.
+    """
+    marked = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("origin"))
+    marked = materialize(marked.withColumn("uid", F.monotonically_increasing_id()), "mix-input")
+    places = mix_sources(marked, weights, "origin", "id", keep=["uid"]).select("uid", "position")
+    return marked.select("uid", "row").join(places, "uid").repartitionByRange("position").sortWithinPartitions("position").select("row.*")

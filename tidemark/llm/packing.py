@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BPE, inline, materialize, power_of_two, slices, text_of, vocabulary_path
+from .common import WORD_BPE, inline, materialize, power_of_two, slices, spread, text_of, vocabulary_path
 from .mixing import mix_sources
 
 #: Tokens in a sequence, and the id that ends a document.
@@ -233,7 +233,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all pieces proves the number of all sequences; see ``pack_pieces``. Other columns are not read,
     whatever their names. No rows give no rows.
     """
-    pieces = materialize(cut_documents(docs, id_col, text_col, vocabulary, capacity, end_id), "pieces")
+    pieces = materialize(cut_documents(spread(docs.select(id_col, text_col)), id_col, text_col, vocabulary, capacity, end_id), "pieces")
     return pack_pieces(pieces, capacity, partition_pieces, rounds).withColumnRenamed("id", id_col)
 
 
@@ -243,10 +243,11 @@ def pack_mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, source
     Positions are those of ``mix_sources``. They follow from ids, sources and weights alone and are
     worked out here from the rows given, as files do not keep the order of rows. A sequence stands
     at the position of its longest piece; the others are from the same range of about
-    ``partition_pieces`` pieces, or of a wider one where an exchange has saved sequences.
+    ``partition_pieces`` pieces, or of a wider one where pieces were exchanged. Odd rows are
+    treated as ``pack_documents`` and ``mix_sources`` say; other columns are not read.
     """
-    rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_row": F.monotonically_increasing_id()})
-    pieces = materialize(cut_documents(rows, id_col, text_col, vocabulary, capacity, end_id, ["_source", "_row"]), "pieces")
-    places = mix_sources(pieces.filter("piece = 0"), weights, "_source", "id", keep=["_row"]).select("_row", "position")
-    placed = materialize(pieces.join(places, "_row").drop("_row", "_source"), "placed")
+    rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"), F.col(source_col).cast("string").alias("origin"), F.monotonically_increasing_id().alias("row"))
+    pieces = materialize(cut_documents(rows, "doc", "text", vocabulary, capacity, end_id, ["origin", "row"]), "pieces")
+    places = mix_sources(pieces.filter("piece = 0"), weights, "origin", "id", keep=["row"]).select("row", "position")
+    placed = materialize(pieces.join(places, "row").drop("row", "origin"), "placed")
     return pack_pieces(placed, capacity, partition_pieces).drop("position").withColumnRenamed("id", id_col)

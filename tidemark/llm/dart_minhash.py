@@ -14,19 +14,24 @@ cut into bands; texts that share a band's values meet in a bucket, of which one
 Leaders are compared with the members exactly, by the weighted Jaccard similarity of the whole
 texts, and links at or over the threshold are closed to components. Where a bucket then holds
 several components, members outside its largest one are compared with a few members of that one,
-and what still stands outside with all members of the bucket: these are dealt to fragments of
-bounded size, to each of which the few outsiders are copied. So every pair that shares a bucket is
-either compared or known to be connected, and no group's pairs are listed.
+and what still stands outside with all members of the bucket. So every pair that shares a bucket
+is either compared or known to be connected, and no group's pairs are listed.
+
+Texts are compared in tasks of two sides of bounded size: a leader and a fragment of its members, a
+fragment of outsiders and a fragment of the bucket. A text is sent once to each task that it takes
+part in, a leader's once for each fragment, and no task holds more than two fragments.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, text_of
+from .common import SLICE_CHARS, materialize, paged_join, slices, spread, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,8 +42,10 @@ K = BANDS * ROWS
 LOWEST = -10
 #: Darts a coordinate that are thrown at first, beyond ``ln K``.
 MARGIN = 2.0
-#: Members of a bucket's largest component that an outsider meets first, and members in a fragment.
-MEETINGS, FRAGMENT = 4, 500
+#: Members of a bucket's largest component that an outsider meets first.
+MEETINGS = 4
+#: Texts and bytes of text in a fragment, about; a longer text is one by itself.
+FRAGMENT, FRAGMENT_BYTES = 500, 2_000_000
 
 
 def poisson_limits(area: float) -> np.ndarray:
@@ -148,103 +155,161 @@ def sign_texts(texts, size: int, bands: int, rows: int):
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of its component, for all nodes of ``edges`` (a, b).
 
-    In each round a node adopts its smallest neighbour, twice over; edges inside what is joined
-    then vanish. Each round is written to the shared folder.
+    In each round a node adopts the neighbour of lowest priority, a hash that is new in each
+    round, if that is below its own, twice over; edges inside what is joined then vanish. About
+    half of the nodes or more are joined to others in a round, in a chain as anywhere else, so
+    that the rounds grow with the logarithm of the nodes. Each round is written to the shared
+    folder; nodes with very many edges are dealt over pages.
     """
-    spark = edges.sparkSession
     edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     steps = []
-    while not edges.isEmpty():
+    while n := edges.count():
+        priority = lambda c, r=len(steps): F.xxhash64(c, F.lit(r), F.lit(11))
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        up = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent"))
-        up = materialize(up, "parents")
-        over = up.select(F.col("node").alias("p"), F.col("parent").alias("grand"))
-        steps.append(materialize(up.join(over, F.col("parent") == F.col("p")).select("node", F.col("grand").alias("parent")), "parents"))
-        to_a = steps[-1].select(F.col("node").alias("a"), F.col("parent").alias("pa"))
-        to_b = steps[-1].select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-        joined = edges.join(to_a, "a").join(to_b, "b").filter("pa <> pb")
+        up = both.groupBy("node").agg(F.min_by("to", priority("to")).alias("to"), F.min(priority("to")).alias("least"), F.count("*").alias("n"))
+        up = materialize(up.select("node", "n", F.when(F.col("least") < priority("node"), F.col("to")).otherwise(F.col("node")).alias("parent")), "parents")
+        adopted = up.groupBy("parent").agg(F.count("*").alias("m"))
+        over = materialize(adopted.join(up.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent"), "grandparents")
+        step = materialize(paged_join(up, over, ["parent"], "m", up.count(), F.col("node")).select("node", "n", F.col("grand").alias("parent")), "parents")
+        steps.append(step)
+        of_a, of_b = (step.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parent").alias(f"p{c}")) for c in "ab")
+        joined = paged_join(paged_join(edges, of_a, ["a"], "na", 2 * n, F.col("b")), of_b, ["b"], "nb", 2 * n, F.col("a")).filter("pa <> pb")
         edges = materialize(joined.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label"))
-    out = steps[0].withColumnRenamed("parent", "label")
-    for step in steps[1:]:
-        nxt = step.select(F.col("node").alias("label"), "parent")
-        out = out.join(nxt, "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
-    return materialize(out, "labels")
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (``id, text``) have at least that weighted Jaccard similarity; ``a, b, similarity``."""
-    both = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-
-    def run(batches):
-        import pyarrow as pa
-
-        from .words import shingles, weighted
-
-        for batch in batches:
-            for part in slices(batch, 2):
-                n = part.num_rows
-                texts = pa.chunked_array([part.column(2), part.column(3)]).combine_chunks()
-                coded = texts.dictionary_encode()  # a leader's text comes with each of its members
-                h, of, w = weighted(*shingles(coded.dictionary, size))
-                ends = np.searchsorted(of, np.arange(len(coded.dictionary) + 1))
-                code = coded.indices.to_numpy(zero_copy_only=False)
-                total = np.bincount(of, weights=w, minlength=len(coded.dictionary))
-                out = np.zeros(n)
-                for i in range(n):
-                    x, y = (slice(ends[c], ends[c + 1]) for c in (code[i], code[n + i]))
-                    at = np.searchsorted(h[y], h[x])
-                    at[at == y.stop - y.start] = 0
-                    same = h[y][at] == h[x]
-                    shared = np.minimum(w[x], w[y][at])[same].sum()
-                    out[i] = shared / (total[code[i]] + total[code[n + i]] - shared)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(out)], ["a", "b", "similarity"])
-
-    schema = T.StructType([T.StructField("a", pairs.schema["a"].dataType), T.StructField("b", pairs.schema["b"].dataType), T.StructField("similarity", T.DoubleType())])
-    return both.mapInArrow(run, schema).filter(F.col("similarity") >= threshold)
-
-
-def compare_fragments(rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links between outsiders and others of each (bucket, fragment); ``rows``: ``bucket, fragment, band, rep, label, outside, bands, text``.
-
-    A pair that shares several buckets is compared in that of the first band. Outsiders meet each
-    other in fragment 0. Of an outsider's links to one component, one is returned.
+    root = steps[-1].select("node", F.col("parent").alias("root"))
+    for step in reversed(steps[:-1]):
+        counts = step.groupBy("parent").agg(F.count("*").alias("m"))
+        known = counts.join(root.withColumnRenamed("node", "parent"), "parent", "left").select("parent", "m", F.coalesce("root", "parent").alias("root"))
+        root = materialize(paged_join(step.select("node", "parent"), materialize(known, "roots"), ["parent"], "m", step.count(), F.col("node")).select("node", "root"), "roots")
+    least = materialize(root.groupBy("root").agg(F.min("node").alias("label"), F.count("*").alias("m")), "least")
+    return materialize(paged_join(root, least, ["root"], "m", root.count(), F.col("node")).select("node", "label"), "labels")
+
+
+def whole_tasks(batches, most: int = SLICE_CHARS):
+    """Tables of rows with their tasks whole, from batches sorted by ``task``; of about ``most`` bytes of text, or one task."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size, last = [], 0, None
+
+    def ready():
+        return pa.Table.from_batches(held).combine_chunks()
+
+    for batch in batches:
+        task = batch.column("task").to_numpy()
+        if not len(task):
+            continue
+        starts = np.flatnonzero(np.diff(task, prepend=task[0] - 1 if last is None else last))
+        before = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))])
+        at = 0
+        for s in starts:
+            if size + before[s] - before[at] >= most or (s == 0 and size >= most):
+                if s > at:
+                    held.append(batch.slice(at, s - at))
+                if held:
+                    yield ready()
+                held, size, at = [], 0, s
+        held.append(batch.slice(at))
+        size += before[-1] - before[at]
+        last = task[-1]
+    if held:
+        yield ready()
+
+
+def compare_tasks(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (``a, b``) between the two sides of each task; ``rows``: ``task, side, rep, label, band, bands, text``, side 0 or 1.
+
+    Pairs of one label are known to be connected. Where rows have ``bands``, a pair that shares
+    several buckets is compared in that of the first band. Of a text's links to one component in a
+    task, one is returned.
     """
     kind = rows.schema["rep"].dataType
 
-    def compare(table):
+    def compare(batches):
         import pyarrow as pa
 
         from .words import shingles, weighted
 
-        rep, label = (table.column(c).to_numpy() for c in ("rep", "label"))
-        outside = table.column("outside").to_numpy(zero_copy_only=False)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1)
-        band, fragment = table.column("band")[0].as_py(), table.column("fragment")[0].as_py()
-        h, of, w = weighted(*shingles(table.column("text").combine_chunks(), size))
-        ends, total = np.searchsorted(of, np.arange(len(rep) + 1)), np.bincount(of, weights=w, minlength=len(rep))
-        out_a, out_b = [], []
-        for i in np.flatnonzero(outside):
-            same = bands == bands[i]
-            wanted = (label != label[i]) & (same.argmax(axis=1) == band)
-            wanted &= ~outside | (fragment == 0)
-            if not wanted.any():
-                continue
-            own_h, own_w = h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
-            at = np.minimum(np.searchsorted(own_h, h), len(own_h) - 1)
-            shared = np.bincount(of, weights=np.where(own_h[at] == h, np.minimum(own_w[at], w), 0.0), minlength=len(rep))
-            found = np.flatnonzero(wanted & (shared >= threshold * (total + total[i] - shared)))
-            _, first = np.unique(label[found], return_index=True)
-            out_a += [min(rep[i], rep[j]) for j in found[first]]
-            out_b += [max(rep[i], rep[j]) for j in found[first]]
-        return pa.table({"a": pa.array(out_a, table.schema.field("rep").type), "b": pa.array(out_b, table.schema.field("rep").type)})
-
-    return rows.groupBy("bucket", "fragment").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        for table in whole_tasks(batches):
+            table = table.sort_by([("task", "ascending"), ("side", "ascending")]).combine_chunks()
+            task, side, rep, label, band = (table.column(c).to_numpy() for c in ("task", "side", "rep", "label", "band"))
+            flat = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            lists = table.column("bands").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            first_band = np.cumsum(lists) - lists
+            h, of, w = weighted(*shingles(table.column("text").combine_chunks(), size))
+            ends, total = np.searchsorted(of, np.arange(len(rep) + 1)), np.bincount(of, weights=w, minlength=len(rep))
+            starts = np.append(np.flatnonzero(np.diff(task, prepend=task[0] - 1)), len(task))
+            out_a, out_b = [], []
+            for start, stop in zip(starts[:-1], starts[1:], strict=True):
+                mid = start + int(np.searchsorted(side[start:stop], 1))
+                lo, hi = ends[mid], ends[stop]
+                if mid in (start, stop):
+                    continue
+                keys, weights, owner = h[lo:hi], w[lo:hi], of[lo:hi] - mid
+                width = lists[start]
+                bands = flat[first_band[start] : first_band[start] + width * (stop - start)].reshape(stop - start, -1) if width else None
+                for i in range(start, mid):
+                    wanted = label[mid:stop] != label[i]
+                    if bands is not None:
+                        wanted &= (bands[mid - start :] == bands[i - start]).argmax(axis=1) == band[i]
+                    if not wanted.any():
+                        continue
+                    own_h, own_w = h[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]
+                    at = np.minimum(np.searchsorted(own_h, keys), len(own_h) - 1)
+                    shared = np.bincount(owner, weights=np.where(own_h[at] == keys, np.minimum(own_w[at], weights), 0.0), minlength=stop - mid)
+                    found = mid + np.flatnonzero(wanted & (shared >= threshold * (total[mid:stop] + total[i] - shared)))
+                    _, first = np.unique(label[found], return_index=True)
+                    out_a += [min(rep[i], rep[j]) for j in found[first]]
+                    out_b += [max(rep[i], rep[j]) for j in found[first]]
+            yield pa.record_batch([pa.array(out_a, table.schema.field("rep").type), pa.array(out_b, table.schema.field("rep").type)], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def fragments(n: str, size: str):
+    """How many fragments ``n`` texts of ``size`` bytes make."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / FRAGMENT), F.ceil(F.col(size) / FRAGMENT_BYTES)).cast("int")
+
+
+def fragment_of(c: str, parts):
+    return F.pmod(F.xxhash64(c, F.lit(10)), parts.cast("long")).cast("int")
+
+
+def star_links(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (``leader, rep``, distinct) that are similar enough, as ``a, b``; ``texts``: ``rep, text, size``."""
+    pairs = materialize(pairs.join(texts.select("rep", "size"), "rep"), "pairs")
+    stars = materialize(pairs.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("parts", fragments("n", "bytes")), "stars")
+    dealt = paged_join(pairs.select("leader", "rep"), stars, ["leader"], "n", pairs.count(), F.col("rep"))
+    task = lambda f: F.xxhash64("leader", f)
+    members = dealt.select(task(fragment_of("rep", F.col("parts"))).alias("task"), F.lit(1).alias("side"), "rep")
+    leaders = stars.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("f")).select(task(F.col("f")).alias("task"), F.lit(0).alias("side"), F.col("leader").alias("rep"))
+    # the only label of a text is itself here
+    rows = leaders.unionByName(members).join(texts.select("rep", "text"), "rep")
+    return compare_tasks(rows.select("task", "side", "rep", F.col("rep").alias("label"), F.lit(0).alias("band"), F.array().cast("array<bigint>").alias("bands"), "text"), size, threshold)
+
+
+def outsider_links(unsettled: DataFrame, items: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links of members outside a bucket's main component to all members that they are not connected to; ``unsettled``: ``bucket, band, rep, label, n, main``."""
+    rows = unsettled.join(texts.select("rep", "size"), "rep").withColumn("out", F.col("label") != F.col("main"))
+    count = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    sides = rows.groupBy("bucket").agg(*[count(c, x).alias(f"{a}{b}") for a, c in (("o", F.col("out")), ("m", ~F.col("out"))) for b, x in (("n", F.lit(1)), ("size", F.col("size")))], F.count("*").alias("n"))
+    sides = materialize(sides.select("bucket", "n", fragments("on", "osize").alias("po"), fragments("mn", "msize").alias("pm")), "sides")
+    dealt = paged_join(rows.drop("n", "size"), sides, ["bucket"], "n", rows.count(), F.col("rep"))
+    dealt = materialize(dealt.withColumn("f", fragment_of("rep", F.when(F.col("out"), F.col("po")).otherwise(F.col("pm")))), "dealt")
+    up_to = lambda a, b: F.explode(F.sequence(a, b))
+    zero, own = F.lit(0), ("bucket", "band", "rep", "label", "f")
+    outside, inside = dealt.filter("out"), dealt.filter("NOT out")
+    parts = (
+        outside.select(*own, F.lit("m").alias("kind"), F.lit(0).alias("side"), up_to(zero, F.col("pm") - 1).alias("g")).select("*", F.col("f").alias("i"), F.col("g").alias("j")),
+        inside.select(*own, F.lit("m").alias("kind"), F.lit(1).alias("side"), up_to(zero, F.col("po") - 1).alias("g")).select("*", F.col("g").alias("i"), F.col("f").alias("j")),
+        # of two fragments of outsiders the lower one is side 0, so that a pair has one task
+        outside.select(*own, F.lit("o").alias("kind"), F.lit(0).alias("side"), up_to(F.col("f"), F.col("po") - 1).alias("g")).select("*", F.col("f").alias("i"), F.col("g").alias("j")),
+        outside.select(*own, F.lit("o").alias("kind"), F.lit(1).alias("side"), up_to(zero, F.col("f")).alias("g")).select("*", F.col("g").alias("i"), F.col("f").alias("j")),
+    )
+    tasks = functools.reduce(DataFrame.unionByName, parts).select(F.xxhash64("bucket", "kind", "i", "j").alias("task"), "side", "rep", "label", "band")
+    rows = tasks.join(texts.select("rep", "text"), "rep").join(items.select("rep", "bands"), "rep")
+    return compare_tasks(rows.select("task", "side", "rep", "label", "band", "bands", "text"), size, threshold)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -274,47 +339,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([part.column(0), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(ends, flat)], ["id", "f1", "f2", "bands"])
 
     schema = T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("f1 long, f2 long, bands array<long>").fields])
-    signed = materialize(source.mapInArrow(sign, schema), "signed")
-    items = materialize(signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "items")
-
-    spread = items.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))
-    lead = F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), F.col("rep").alias("rep")))
-    led = spread.groupBy("bucket").agg(F.count("*").alias("n"), lead.alias("leader")).filter("n > 1").select("bucket", F.col("leader.rep").alias("leader"))
-    members = materialize(spread.join(led, "bucket").select("bucket", "band", "rep", "leader"), "members")
+    signed = materialize(spread(source).mapInArrow(sign, schema), "signed")
+    items = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.count("*").alias("n"))
+    items = materialize(items, "items")
+
+    buckets = items.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))
+    lead = lambda c: F.min_by(c, F.xxhash64("bucket", c))
+    led = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("n"), lead("rep").alias("leader")).filter("n > 1"), "led")
+    members = materialize(paged_join(buckets, led, ["bucket"], "n", items.count() * bands, F.col("rep")).select("bucket", "band", "rep", "leader"), "members")
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialize(source.join(wanted, "id", "left_semi"), "texts")
-    pair = lambda x: (F.least("rep", x).alias("a"), F.greatest("rep", x).alias("b"))
+    texts = materialize(source.join(wanted, "id", "left_semi").select(F.col("id").alias("rep"), "text", F.octet_length("text").cast("long").alias("size")), "texts")
 
     def open_members(members, links):
         """Members of buckets that hold several components, with their label and the bucket's largest one; and all labels."""
         labels = components(links)
         labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
+        labelled = materialize(labelled, "labelled")
         counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         sizes = counted.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-        open_ = sizes.filter("parts > 1").select("bucket", "n", F.col("most.label").alias("main"))
-        return materialize(labelled.join(open_, "bucket"), "open"), labels
+        open_ = materialize(sizes.filter("parts > 1").select("bucket", "n", F.col("most.label").alias("main")), "open")
+        return materialize(paged_join(labelled, open_, ["bucket"], "n", labelled.count(), F.col("rep")), "open"), labels
 
-    pairs = materialize(members.filter("rep <> leader").select(*pair("leader")).distinct(), "pairs")
-    links = materialize(similar_pairs(pairs, texts, size, threshold).select("a", "b"), "links")
+    links = materialize(star_links(members.filter("rep <> leader").select("leader", "rep").distinct(), texts, size, threshold), "links")
     # the leader has met all others
-    unsettled, labels = open_members(members.filter("rep <> leader"), links)
+    unsettled, labels = open_members(members.filter("rep <> leader").select("bucket", "band", "rep"), links)
     if not unsettled.isEmpty():
         slot = F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(MEETINGS))
-        hosts = unsettled.filter("label = main").groupBy("bucket", slot.alias("slot")).agg(lead.alias("host")).select("bucket", F.col("host.rep").alias("host"))
-        meetings = unsettled.filter("label <> main").join(hosts, "bucket").select(*pair("host")).distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(materialize(similar_pairs(materialize(meetings, "pairs"), texts, size, threshold).select("a", "b"), "links"))
+        hosts = unsettled.filter("label = main").groupBy("bucket", slot.alias("slot")).agg(lead("rep").alias("leader")).select("bucket", "leader")
+        meetings = unsettled.filter("label <> main").join(hosts, "bucket").select("leader", "rep").distinct()
+        links = links.unionByName(materialize(star_links(meetings, texts, size, threshold), "links"))
         unsettled, labels = open_members(unsettled.select("bucket", "band", "rep"), links)
     if not unsettled.isEmpty():
-        fragments = F.ceil(F.col("n") / FRAGMENT).cast("int")
-        outside = F.col("label") != F.col("main")
-        own = F.array(F.pmod(F.xxhash64("rep", F.lit(10)), fragments.cast("long")).cast("int"))
-        dealt = unsettled.withColumn("outside", outside).withColumn("fragment", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), fragments - 1)).otherwise(own)))
-        with_text = dealt.join(texts.withColumnRenamed("id", "rep"), "rep").join(items.select("rep", "bands"), "rep")
-        rows = with_text.select("bucket", "fragment", "band", "rep", "label", "outside", "bands", "text")
-        links = links.unionByName(materialize(compare_fragments(rows, size, threshold), "links"))
+        links = links.unionByName(materialize(outsider_links(unsettled, items, texts, size, threshold), "links"))
         labels = components(links)
 
-    classes = items.select("f1", "f2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("label", "rep").alias("class_id"))
-    out = signed.select("id", "f1", "f2").join(materialize(classes, "classes"), ["f1", "f2"])
+    classes = items.select("f1", "f2", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("class_id"))
+    out = paged_join(signed.select("id", "f1", "f2"), materialize(classes, "classes"), ["f1", "f2"], "n", signed.count(), F.col("id"))
     out = out.select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")).unionByName(nameless)
     return out.withColumnRenamed("id", id_col)

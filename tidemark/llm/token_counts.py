@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_BPE, slices, text_of, vocabulary_path
+from .common import BYTE_BPE, slices, spread, text_of, vocabulary_path
 
 #: Tokens beyond which a document is over the limit.
 TOKEN_LIMIT = 512
@@ -42,5 +42,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch([part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), counts], ["id", "n_bytes", "n_tokens"])
 
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    counted = rows.mapInArrow(run, schema)
+    counted = spread(rows).mapInArrow(run, schema)
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

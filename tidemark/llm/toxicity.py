@@ -1,8 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are present or absent: words, their first letters (for languages that compound), pairs
-of neighbours, and pairs with one word between. The model is fitted on a bounded sample of labelled rows, in one pass after another over the sample:
-each coordinate has its own learning rate, and the L1 term keeps all but a few weights at exactly
+of neighbours, and pairs with one word between. The model is fitted on a bounded sample of labelled
+rows, in one pass after another over the sample: each coordinate has its own learning rate, and the L1 term keeps all but a few weights at exactly
 zero. Only the weights that are left are sent to the executors.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import row_of, slices, spread, text_of
 
 #: First letters of a word that are a feature of their own.
 PREFIX = 4
@@ -25,10 +25,14 @@ CUT = 0.7
 
 @dataclass(frozen=True)
 class FtrlSettings:
-    """``bits``: hashed coordinates are ``2 ** bits``. ``sample_rows``: the largest number of labelled rows of each class that are learnt from."""
+    """``bits``: hashed coordinates are ``2 ** bits``. ``sample_rows``: the largest number of labelled rows of each class that are learnt from.
+
+    ``sample_features``: of a longer text that is learnt from, as many coordinates, by a hash of the coordinate.
+    """
 
     bits: int = 18
     sample_rows: int = 2_500
+    sample_features: int = 20_000
     epochs: int = 6
     alpha: float = 1.0
     beta: float = 1.0
@@ -81,10 +85,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, settings: Ft
     """Coordinates with a weight, in order, their weights, and the intercept.
 
     ``learn`` is a condition on ``id``. Of the labelled rows that it holds for, each class gives
-    at most ``sample_rows``, by a hash of the id: that bounds what the driver is sent. Rows with
-    a null label or id are not learnt from. Without rows of both classes the score is constant.
+    at most ``sample_rows``, by a hash of the id: that bounds what the driver is sent, along with
+    ``sample_features``. Rows with a null label or id are not learnt from, nor are ids that are
+    labelled both ways. Texts that repeat an id are learnt from each. Without rows of both classes
+    the score is constant.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null").filter(learn).filter("label in (0, 1)")
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(settings.sample_rows) for y in (0, 1)]
     chosen = {r.id: r.label for part in parts for r in part.collect()}
     if len(set(chosen.values())) < 2:
@@ -98,9 +105,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, settings: Ft
     def run(batches):
         import pyarrow as pa
 
+        from .words import mix
+
         for batch in batches:
             for part in slices(batch, 1):
                 at, of = features(part.column(1), bits)
+                own = np.bincount(of, minlength=part.num_rows)
+                if own.max(initial=0) > settings.sample_features:
+                    order = np.lexsort((mix(at.astype(np.uint64)), of))
+                    nth = np.arange(len(of)) - np.repeat(np.cumsum(own) - own, own)
+                    chosen = np.sort(order[nth < settings.sample_features])
+                    at, of = at[chosen], of[chosen]
                 ends = np.searchsorted(of, np.arange(part.num_rows + 1))
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))], ["id", "at"])
 
@@ -114,17 +129,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, settings: Ft
     return at, weights[at], intercept
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings: FtrlSettings = FtrlSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``CUT`` on) in place of columns of these names.
-
-    Whole texts are scored and nothing else is; a null or empty text gets the score of no
-    features. All rows stay, repeated ones and null ids too. No rows give no rows.
-    """
-    at, weights, intercept = model
-    sent = docs.sparkSession.sparkContext.broadcast((at, weights, intercept))
+def _scored(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings: FtrlSettings) -> DataFrame:
+    """``rows``, whose last column is the text, with ``score`` in its place."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
     bits = settings.bits
-    cols = [c for c in docs.columns if c not in ("score", "predicted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in cols], text_of(text_col).alias("_scored_text"))
 
     def run(batches):
         import pyarrow as pa
@@ -141,12 +149,28 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float],
                 yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(score)], [*part.schema.names[:last], "score"])
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return spread(rows).mapInArrow(run, schema)
+
+
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings: FtrlSettings = FtrlSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: ``id_col, score`` (0 to 1), ``predicted`` (1 from ``CUT`` on).
+
+    Whole texts are scored and nothing else is; a null or empty text gets the score of no
+    features. All rows stay, repeated ones and null ids too. Other columns are not read, whatever
+    their names. No rows give no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return _scored(rows, model, settings).select(F.col("id").alias(id_col), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def drop_rejected(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings: FtrlSettings = FtrlSettings(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score below ``CUT``, with all their columns, whatever their names; odd rows as in ``score_toxicity``."""
+    rows = docs.select(row_of(docs).alias("row"), text_of(text_col).alias("text"))
+    return _scored(rows, model, settings).filter(F.col("score") < CUT).select("row.*")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: FtrlSettings = FtrlSettings(), modulus: int = 3, remainder: int = 1) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row; labels of held-out ids are not learnt from. Null ids are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
     model = fit_toxicity(docs, labels, F.crc32(F.col("id").cast("string").cast("binary")) % modulus != remainder, settings)
-    scored = score_toxicity(docs.select("doc_id", "text"), model, settings)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score_toxicity(docs, model, settings).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -1,12 +1,15 @@
 """The pipeline end to end: what the batches of a stream leave in the tables."""
 
+import datetime
 import itertools
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
+from tidemark.operators.prepare import dedup_batch
 from tidemark.operators.state import STATE_COLUMNS, apply_changes
 from tidemark.sources.changes import PositionLost, read_range, register
 from tidemark.sources.store import UPSERT, DuplicateSourceKeys, TableStore, When
@@ -123,6 +126,88 @@ def test_store(spark, tmp_path):
     assert store.vacuum("t") > 0 and store.read("t").count() == 3
 
 
+def stream_count(store, name):
+    view = f"rows_{uuid.uuid4().hex}"
+    q = store.stream(name).writeStream.format("memory").queryName(view).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return store.spark.table(view).count()
+
+
+def test_streams_see_committed_appends_once(spark, tmp_path, monkeypatch):
+    """A writer is cut off before its commit, another between commit and move; then the batches are replayed, and the table is compacted."""
+    store = TableStore(spark, str(tmp_path))
+    store.ensure("t", "n long, at date", partition_by=("at",))
+    rows = spark.range(5).select(F.col("id").alias("n"), F.when(F.col("id") > 0, F.to_date(F.lit("2024-01-01"))).alias("at"))
+    store.append("t", rows, "q", 0)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            store.append("t", rows, "q", 1)
+    assert store.read("t").count() == stream_count(store, "t") == 5
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda *a: None)
+        store.append("t", rows, "q", 1)
+    again = TableStore(spark, str(tmp_path))
+    assert not again.append("t", rows, "q", 1)
+    assert again.read("t").count() == stream_count(again, "t") == 10
+    assert again.compact("t") and again.read("t").count() == stream_count(again, "t") == 10
+    assert again.vacuum("t") == 0 and stream_count(again, "t") == 10
+    assert {r["at"] for r in again.stream("t").sparkSession.table(_last_view(again)).collect()} == {None, datetime.date(2024, 1, 1)}
+
+
+def _last_view(store):
+    view = f"rows_{uuid.uuid4().hex}"
+    store.stream("t").writeStream.format("memory").queryName(view).trigger(availableNow=True).start().awaitTermination()
+    return view
+
+
+def test_commits_are_whole_and_lost_races_retry(spark, tmp_path):
+    a, b = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
+    a.ensure("t", "n long")
+    rows = spark.range(2).toDF("n")
+    state = a._state("t")
+    assert b.append("t", rows, "b", 0)
+    commit = {"operation": "append", "add": [], "remove": [], "query": None, "batch": None}
+    assert not a._commit("t", state, commit)  # its number is taken
+    (tmp_path / "t" / "_log" / ".half").write_text("{")  # a writer was cut off
+    for i in range(45):
+        assert a.append("t", rows.limit(0) if i else rows, "a", i)
+    assert a.read("t").count() == 4 and b.read("t").count() == 4 and not b.append("t", rows, "a", 44)
+    assert len(list((tmp_path / "t" / "_log").glob("*.state"))) == 2 and a.read("t", 1).count() == 2
+    with pytest.raises(LookupError):
+        a.read("t", 99)
+
+
+def test_partition_filters_prune_and_buckets_are_read_alone(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path), buckets=8)
+    store.ensure("t", "n long, at date", partition_by=("at",))
+    store.append("t", spark.sql("SELECT id AS n, date_add(DATE'2024-01-01', CAST(id % 3 AS INT)) AS at FROM range(30)"))
+    one = store.read("t").filter("at = DATE'2024-01-02'")
+    assert one.count() == 10 and "PartitionFilters: [isnotnull(at" in one._jdf.queryExecution().toString()
+    store.ensure("k", "k long, v long", ("k",))
+    store.append("k", spark.range(100).selectExpr("id AS k", "id AS v"))
+    some = store.touching("k", spark.range(1).selectExpr("7L AS k"))
+    assert 0 < some.count() < 60 and some.filter("k = 7").count() == 1
+
+
+def test_empty_batches_write_nothing(pipeline, spark):
+    p = pipeline
+    before = {t: p.store._log(t)[0] for t in ("bronze", "history", "status_funnel", "product_volume", "decision_time", "open_counts", "quality_violations")}
+    p.write_bronze(p.store.read("bronze"), 0)
+    p.write_silver(p.store.read("bronze").withColumn("event_time", F.current_timestamp()), 0)
+    p.write_funnel(p.store.read("status_funnel"), 0)
+    p.write_volume(p.store.read("product_volume"), 0)
+    p.write_metrics(p.store.read("history"), 0)
+    p.write_document_violations(p.store.read("bronze"), 0)
+    p.write_transition_violations(p.store.read("history"), 0)
+    assert before == {t: p.store._log(t)[0] for t in before}
+
+
+def test_first_of_null_tokens(spark):
+    rows = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 2.0), ("a", 0.5)], "event_token string, event_time double")
+    assert {tuple(r) for r in dedup_batch(rows).collect()} == {(None, 1.0), ("a", 0.5)}
+
+
 def test_change_log(spark, tmp_path):
     register(spark)
     path = str(tmp_path / "log")

@@ -34,6 +34,42 @@ def has_field(update: Column, name: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(changed_fields(update)), name), F.lit(False))
 
 
+def parse_fields(doc: Column) -> Column:
+    """The top-level fields of a document as a map; null for none or a malformed one."""
+    return F.from_json(doc, _OBJECT)
+
+
+def lay_over(base: Column, over: Column) -> Column:
+    """Parsed fields with others laid over them; null without a base."""
+    return F.when(over.isNull(), base).otherwise(F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over))
+
+
+def without(fields: Column, names: Iterable[str]) -> Column:
+    return F.map_filter(fields, lambda k, _: ~k.isin(*names))
+
+
+def text_of(value: Column) -> Column:
+    """A parsed value as text: strings as they are, other values as their JSON, null as null."""
+    return F.coalesce(F.try_variant_get(value, "$", "string"), F.nullif(F.to_json(value), F.lit("null")))
+
+
+def double_of(value: Column) -> Column:
+    """A number; text that is none is null, not an error."""
+    return F.try_variant_get(value, "$", "double")
+
+
+def date_of(value: Column) -> Column:
+    """A timestamp in extended JSON: ISO text under ``$date``, or milliseconds under ``$date.$numberLong``."""
+    millis = F.try_variant_get(value, "$['$date']['$numberLong']", "bigint")
+    return F.coalesce(F.try_to_timestamp(F.try_variant_get(value, "$['$date']", "string")), F.timestamp_millis(millis))
+
+
+def moves_status(operation: Column, over: Column, field: str = "status") -> Column:
+    """``is_transition`` for an update's fields that are parsed already."""
+    named = F.coalesce(F.map_contains_key(over, field), F.lit(False))
+    return F.coalesce(operation.isin("insert", "delete", "replace"), F.lit(False)) | (F.coalesce(operation == "update", F.lit(False)) & named)
+
+
 def is_transition(operation: Column, update: Column, field: str = "status") -> Column:
     """Inserts, deletes and replacements always, updates if they name the status field; a null operation is none."""
     return F.coalesce(operation.isin("insert", "delete", "replace"), F.lit(False)) | (F.coalesce(operation == "update", F.lit(False)) & has_field(update, field))
@@ -47,17 +83,9 @@ def overlaid(doc: Column, update: Column, name: str) -> Column:
 
 def overlay_document(doc: Column, update: Column) -> Column:
     """The whole document with the update's fields laid over it at the top level; null without a document."""
-    base = F.from_json(doc, _OBJECT)
-    over = F.coalesce(F.from_json(changed_fields(update), _OBJECT), F.from_json(F.lit("{}"), _OBJECT))
-    names = F.coalesce(F.json_object_keys(changed_fields(update)), F.array().cast("array<string>"))
-    return F.to_json(F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(names, k)), over))
+    return F.to_json(lay_over(parse_fields(doc), parse_fields(changed_fields(update))))
 
 
 def residual_fields(doc: Column, common: Iterable[str]) -> Column:
     """The document without its common fields, ``{}`` if nothing is left, null without a document."""
-    return F.to_json(F.map_filter(F.from_json(doc, _OBJECT), lambda k, _: ~k.isin(*common)))
-
-
-def extended_date(ts: Column) -> Column:
-    """A timestamp as extended JSON writes it."""
-    return F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("$date"))
+    return F.to_json(without(parse_fields(doc), common))

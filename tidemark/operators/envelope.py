@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.documents import double_at, text_at
 
@@ -35,19 +36,25 @@ def build_envelope(changes: DataFrame) -> DataFrame:
     return changes.select(id_.cast("string").alias("key"), F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
 
 
+#: The envelope as it is read: nested documents stay JSON text.
+_ENVELOPE = StructType([StructField(k, StructType([StructField("_data", StringType())]) if k == "resume_token" else StringType()) for k in ENVELOPE_KEYS if k != "cluster_time"])
+
+
 def parse_envelope(log: DataFrame) -> DataFrame:
-    """Log records as rows of the ``bronze`` schema; works on batches and streams."""
+    """Log records as rows of the ``bronze`` schema, each parsed once; works on batches and streams. A malformed record has null fields."""
     value = F.col("value").cast("string")
-    epoch = text_at(value, "$.cluster_time_epoch").try_cast("bigint")
-    return log.select(
+    parsed = log.select("*", F.from_json(value, _ENVELOPE).alias("_e"))
+    at = lambda c: F.col(f"_e.{c}")
+    epoch = at("cluster_time_epoch").try_cast("bigint")
+    return parsed.select(
         F.col("key").cast("string").alias("kafka_key"), F.col("topic").alias("kafka_topic"), F.col("partition").alias("kafka_partition"),
         F.col("offset").alias("kafka_offset"), F.col("timestamp").alias("kafka_timestamp"), value.alias("raw_envelope"),
-        text_at(value, "$.id_proposta").alias("entity_id"), text_at(value, "$.operation_type").alias("operation_type"),
-        epoch.alias("cluster_time_epoch"), text_at(value, "$.resume_token._data").alias("event_token"),
-        (text_at(value, "$.chave_derivada_de_fallback") == "true").alias("key_is_fallback"),
-        text_at(value, "$.document_key").alias("document_key_json"), text_at(value, "$.full_document").alias("full_document_json"),
-        text_at(value, "$.full_document_before_change").alias("full_document_before_change_json"),
-        text_at(value, "$.update_description").alias("update_description_json"),
+        at("id_proposta").alias("entity_id"), at("operation_type").alias("operation_type"),
+        epoch.alias("cluster_time_epoch"), at("resume_token._data").alias("event_token"),
+        (at("chave_derivada_de_fallback") == "true").alias("key_is_fallback"),
+        at("document_key").alias("document_key_json"), at("full_document").alias("full_document_json"),
+        at("full_document_before_change").alias("full_document_before_change_json"),
+        at("update_description").alias("update_description_json"),
         F.to_date(F.timestamp_seconds(epoch)).alias("event_date"), F.current_timestamp().alias("ingested_at"),
     )
 

@@ -37,7 +37,7 @@ def decision_time(history: DataFrame, decisions: DataFrame | None = None, status
     """Each decided entity's last decision and the seconds from its first entry to it.
 
     ``decisions``: the history rows of a batch; the whole history by default. One pass over the
-    history: first entry and last decision are both combined where rows are read.
+    history: first entry and last decision are both combined where rows are read, before the shuffle.
     """
     if decisions is None:
         last = F.max(F.when(F.col("status").isin(*statuses), F.struct("valid_from", "event_token", "product_type", "status"))).alias("d")
@@ -52,6 +52,6 @@ def decision_time(history: DataFrame, decisions: DataFrame | None = None, status
     )
 
 
-def open_counts(history: DataFrame, deleted: str = "deletada") -> DataFrame:
+def open_counts(history: DataFrame, deleted: str = "deletada", by: Sequence[str] = ("product_type", "status")) -> DataFrame:
     """Entities by product and status that are open now."""
-    return history.filter(F.col("valid_to").isNull() & (F.col("status") != deleted)).groupBy("product_type", "status").agg(F.count("*").alias("quantity"))
+    return history.filter(F.col("valid_to").isNull() & (F.col("status") != deleted)).groupBy(*by).agg(F.count("*").alias("quantity"))

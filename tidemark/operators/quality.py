@@ -12,7 +12,9 @@ from ..config import Rules
 from ..functions.documents import text_at
 from .envelope import amount_at
 
-_COLUMNS = ("violation_type", "entity_id", "product_type", "detail")
+#: Names of violations and the texts of their details.
+IMPOSSIBLE_STATE, OUT_OF_RANGE, INVALID_TRANSITION = "estado_impossivel", "valor_fora_de_faixa", "transicao_invalida"
+STATE_TEXT, RANGE_TEXT, ARROW, NOTHING = "status desconhecido: ", "valor_solicitado fora da faixa esperada: ", " -> ", "nulo"
 
 
 def impossible_state(status: Column, known: Iterable[str]) -> Column:
@@ -47,9 +49,9 @@ def state_and_range_violations(events: DataFrame, rules: Rules = Rules(), doc: C
 
 def violations_of(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The same over typed rows ``entity_id, product_type, status, amount``."""
-    none = F.lit("nulo")
-    state = F.when(impossible_state(F.col("status"), rules.statuses), F.struct(F.lit("estado_impossivel").alias("violation_type"), F.concat(F.lit("status desconhecido: "), F.coalesce("status", none)).alias("detail")))
-    amount = F.when(out_of_range(F.col("amount"), F.col("product_type"), rules.ranges), F.struct(F.lit("valor_fora_de_faixa").alias("violation_type"), F.concat(F.lit("valor_solicitado fora da faixa esperada: "), F.coalesce(F.col("amount").cast("string"), none)).alias("detail")))
+    none = F.lit(NOTHING)
+    state = F.when(impossible_state(F.col("status"), rules.statuses), F.struct(F.lit(IMPOSSIBLE_STATE).alias("violation_type"), F.concat(F.lit(STATE_TEXT), F.coalesce("status", none)).alias("detail")))
+    amount = F.when(out_of_range(F.col("amount"), F.col("product_type"), rules.ranges), F.struct(F.lit(OUT_OF_RANGE).alias("violation_type"), F.concat(F.lit(RANGE_TEXT), F.coalesce(F.col("amount").cast("string"), none)).alias("detail")))
     found = rows.select("entity_id", "product_type", F.explode(F.filter(F.array(state, amount), lambda v: v.isNotNull())).alias("v"))
     return found.select(F.col("v.violation_type").alias("violation_type"), "entity_id", "product_type", F.col("v.detail").alias("detail"))
 
@@ -67,8 +69,8 @@ def transition_violations(history: DataFrame, batch: DataFrame | None = None, ru
     if batch is not None:
         lagged = lagged.join(batch.select(token).distinct(), token, "left_semi")
     bad = lagged.filter(~valid_transition(F.col("_before"), F.col("status"), rules.edges, rules.deleted))
-    detail = F.concat(F.coalesce("_before", F.lit("nulo")), F.lit(" -> "), F.col("status"))
-    return bad.select(F.lit("transicao_invalida").alias("violation_type"), F.col(key).alias("entity_id"), "product_type", detail.alias("detail"))
+    detail = F.concat(F.coalesce("_before", F.lit(NOTHING)), F.lit(ARROW), F.col("status"))
+    return bad.select(F.lit(INVALID_TRANSITION).alias("violation_type"), F.col(key).alias("entity_id"), "product_type", detail.alias("detail"))
 
 
 def lifecycle_graph(spark, rules: Rules = Rules()) -> DataFrame:

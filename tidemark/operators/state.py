@@ -11,7 +11,7 @@ STATE_COLUMNS = ("entity_id", "product_type", "customer_cpf", "customer_name", "
 
 
 def latest_per_key(events: DataFrame, keys: Sequence[str] = ("entity_id",), order: Sequence[str] = ("event_time", "event_token")) -> DataFrame:
-    """Each key's last event. ``max_by`` combines where rows are read: no sort, and an entity with very many events is no hot task."""
+    """Each key's last event. Rows are combined where they are read, before the shuffle, so that an entity with very many events is no hot task."""
     rest = [c for c in events.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
     return events.groupBy(*keys).agg(best).select(*keys, "_last.*").select(*events.columns)

@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if a scan gives fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cdc(events: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
     return events.select(
@@ -53,7 +59,8 @@ def slices_of(events: DataFrame, time: str = "event_time") -> list[DataFrame]:
 
 
 def documents(view: DataFrame) -> DataFrame:
-    """The view as change events with JSON documents, as ``build_envelope`` takes them."""
+    """The view as change events with JSON documents, as ``build_envelope`` takes them; spread, as JSON is work for all cores."""
+    view = spread(view)
     doc = F.to_json(F.struct(F.col("entity_id").alias("id_proposta"), F.col("product_type").alias("tipo_produto"), F.col("status"), F.col("amount").alias("valor_solicitado"), F.get_json_object("props", "$.k").cast("int").alias("k")))
     named = F.when(F.col("status") == "view", F.lit('{"updatedFields":{"valor_solicitado":1.5}}')).otherwise(F.to_json(F.struct(F.struct("status").alias("updatedFields"))))
     return view.select(
@@ -70,6 +77,12 @@ def ntz(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder that all executors share: below ``spark.checkpoint.dir``; where that is unset, a local session gets one of its own."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"

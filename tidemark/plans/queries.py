@@ -406,7 +406,7 @@ ORACLE_SQL = {
     "transition_violations": f"WITH {_HISTORY} SELECT violation_type, entity_id, product_type, detail FROM ({_BAD})",
     "transition_violations_incremental": f"WITH {_HISTORY} SELECT violation_type, entity_id, product_type, detail FROM ({_BAD}) WHERE valid_from >= TIMESTAMP '{SLICES[1]}'",
     "report_funnel": f"WITH {_HISTORY}, {_FUNNEL} {_TEXT['report_funnel']}",
-    "report_approval_rate": f"WITH {_HISTORY}, {_FUNNEL.replace('status_funnel', 'f')}, status_funnel AS (SELECT * REPLACE (CASE status WHEN 'click' THEN 'aprovada' WHEN 'purchase' THEN 'recusada' ELSE status END AS status) FROM f), {_TEXT['report_approval_rate'].strip().removeprefix('WITH ')}",
+    "report_approval_rate": f"WITH {_HISTORY}, {_FUNNEL.replace('status_funnel', 'f')}, status_funnel AS (SELECT * REPLACE (CASE status WHEN 'click' THEN 'aprovada' WHEN 'purchase' THEN 'recusada' ELSE status END AS status) FROM f) {_TEXT['report_approval_rate']}",
     "report_decision_time": f"WITH {_HISTORY}, {_DECISIONS} {_TEXT['report_decision_time']}",
     "report_volume": f"WITH {CDC_SQL}, {_VOLUME} SELECT * REPLACE (round(total_value, 2) AS total_value) FROM ({_TEXT['report_volume']})",
     "report_violations": f"WITH {_HISTORY}, quality_violations AS (SELECT violation_type, entity_id, product_type, TIMESTAMP '2024-02-01' AS detected_at FROM ({_BAD}) UNION ALL SELECT *, TIMESTAMP '2024-02-01' FROM ({_STATES})) {_TEXT['report_violations']}",

@@ -13,15 +13,12 @@ REPORTS = {
         FROM status_funnel GROUP BY product_type, status ORDER BY product_type, total_quantity DESC, status
     """,
     "report_approval_rate": """
-        WITH decisions AS (
-            SELECT product_type, status, sum(quantity) AS quantity FROM status_funnel
-            WHERE status IN ('{approved}', '{rejected}') GROUP BY product_type, status
-        )
-        SELECT product_type,
-               CAST(sum(quantity) FILTER (WHERE status = '{approved}') AS BIGINT) AS approved,
-               CAST(sum(quantity) FILTER (WHERE status = '{rejected}') AS BIGINT) AS rejected,
-               round(CAST(sum(quantity) FILTER (WHERE status = '{approved}') AS DOUBLE) / nullif(sum(quantity), 0), 4) AS approval_rate
-        FROM decisions GROUP BY product_type ORDER BY product_type
+        SELECT product_type, CAST(nullif(sum(yes), 0) AS BIGINT) AS approved, CAST(nullif(sum(no), 0) AS BIGINT) AS rejected,
+               round(CAST(nullif(sum(yes), 0) AS DOUBLE) / sum(yes + no), 4) AS approval_rate
+        FROM (
+            SELECT product_type, CASE WHEN status = '{approved}' THEN quantity ELSE 0 END AS yes, CASE WHEN status = '{rejected}' THEN quantity ELSE 0 END AS no
+            FROM status_funnel
+        ) AS decided GROUP BY product_type HAVING sum(yes + no) > 0 ORDER BY product_type
     """,
     "report_decision_time": """
         SELECT product_type, decision_status, count(*) AS entities, round(avg(decision_seconds) / 60.0, 1) AS mean_minutes

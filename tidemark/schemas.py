@@ -13,13 +13,18 @@ SCHEMAS = {
     "status_funnel": "window_start timestamp, window_end timestamp, product_type string, status string, quantity bigint",
     "product_volume": "window_start timestamp, window_end timestamp, product_type string, volume bigint, total_value double",
     "decision_time": "entity_id string, product_type string, decision_status string, created_at timestamp, decided_at timestamp, decision_seconds bigint",
+    # open entities of each bucket of the history
+    "open_by_bucket": "bucket int, product_type string, status string, quantity bigint",
     "open_counts": "product_type string, status string, quantity bigint",
     "quality_violations": "violation_type string, entity_id string, product_type string, detail string, detected_at timestamp",
 }
-#: The columns that identify a row of the tables that are upserted.
+#: The columns that identify a row of the tables that are upserted; of the history, those that its buckets follow.
 KEYS = {
+    "history": ("entity_id",),
     "current_state": ("entity_id",),
     "status_funnel": ("window_start", "window_end", "product_type", "status"),
     "product_volume": ("window_start", "window_end", "product_type"),
     "decision_time": ("entity_id",),
 }
+#: Columns whose values have a folder each.
+PARTITIONS = {"bronze": ("event_date",)}

@@ -22,7 +22,7 @@ from ..operators.metrics import created_documents, decision_time, open_counts, p
 from ..operators.prepare import dedup_stream, prepare_events
 from ..operators.quality import state_and_range_violations, transition_violations
 from ..operators.state import STATE_COLUMNS, latest_per_key
-from ..schemas import KEYS, SCHEMAS
+from ..schemas import KEYS, PARTITIONS, SCHEMAS
 from ..sources.store import UPSERT, TableStore, When
 
 #: Clauses of the state upsert. A tombstone keeps a deleted entity's time; ``later`` compares time, then token.
@@ -46,11 +46,17 @@ class Pipeline:
     def prepare_tables(self) -> None:
         for name, schema in SCHEMAS.items():
             if name != "log":
-                self.store.ensure(name, schema, KEYS.get(name, ()))
+                self.store.ensure(name, schema, KEYS.get(name, ()), PARTITIONS.get(name, ()))
 
-    # writes of one micro-batch
+    # writes of one micro-batch; an empty one writes nothing
+
+    def write_bronze(self, batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            self.store.append("bronze", batch, "bronze", batch_id)
 
     def write_silver(self, batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         events = prepare_events(batch, self.settings.rules).persist()
         try:
             rows = events.filter("is_transition").select("entity_id", "product_type", "status", F.col("event_time").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), "event_token")
@@ -63,33 +69,50 @@ class Pipeline:
             events.unpersist()
 
     def write_funnel(self, batch: DataFrame, batch_id: int) -> None:
-        self.store.merge("status_funnel", batch, UPSERT, "gold-funnel", batch_id)
+        if not batch.isEmpty():
+            self.store.merge("status_funnel", batch, UPSERT, "gold-funnel", batch_id)
 
     def write_volume(self, batch: DataFrame, batch_id: int) -> None:
-        self.store.merge("product_volume", batch, UPSERT, "gold-volume", batch_id)
+        if not batch.isEmpty():
+            self.store.merge("product_volume", batch, UPSERT, "gold-volume", batch_id)
 
     def write_metrics(self, batch: DataFrame, batch_id: int) -> None:
+        """Decision times and open counts, from the buckets of the history that the batch has entities in."""
         batch = batch.persist()
         try:
-            log = self.store.read("history")
+            if batch.isEmpty():
+                return
+            log, deleted = self.store.touching("history", batch), self.settings.rules.deleted
             self.store.merge("decision_time", decision_time(log, batch, self.settings.rules.decisions), UPSERT, "gold-decisions", batch_id)
-            self.store.overwrite("open_counts", open_counts(self.history(), self.settings.rules.deleted), "gold-open", batch_id)
+            bucket = self.store.bucket("history")
+            new = open_counts(self.intervals(log).withColumn("bucket", bucket), deleted, ("bucket", "product_type", "status"))
+            # a row for each bucket, product and status at most
+            kept = self.store.read("open_by_bucket").join(batch.select(bucket.alias("bucket")).distinct(), "bucket", "left_anti")
+            self.store.overwrite("open_by_bucket", kept.unionByName(new), "gold-open-buckets", batch_id)
+            totals = self.store.read("open_by_bucket").groupBy("product_type", "status").agg(F.sum("quantity").alias("quantity"))
+            self.store.overwrite("open_counts", totals, "gold-open", batch_id)
         finally:
             batch.unpersist()
 
     def write_document_violations(self, batch: DataFrame, batch_id: int) -> None:
-        self.store.append("quality_violations", state_and_range_violations(batch, self.settings.rules).withColumn("detected_at", F.current_timestamp()), "quality-documents", batch_id)
+        if not batch.isEmpty():
+            self.store.append("quality_violations", state_and_range_violations(batch, self.settings.rules).withColumn("detected_at", F.current_timestamp()), "quality-documents", batch_id)
 
     def write_transition_violations(self, batch: DataFrame, batch_id: int) -> None:
-        found = transition_violations(self.store.read("history"), batch, self.settings.rules).withColumn("detected_at", F.current_timestamp())
-        self.store.append("quality_violations", found, "quality-transitions", batch_id)
+        if not batch.isEmpty():
+            found = transition_violations(self.store.touching("history", batch), batch, self.settings.rules).withColumn("detected_at", F.current_timestamp())
+            self.store.append("quality_violations", found, "quality-transitions", batch_id)
 
     # what is read
 
     def history(self) -> DataFrame:
         """The transitions with their intervals."""
-        log = self.store.read("history").drop("valid_to").withColumnRenamed("valid_from", "event_time")
-        return status_history(log).select("entity_id", "product_type", "status", "valid_from", "valid_to", "event_token")
+        return self.intervals(self.store.read("history"))
+
+    @staticmethod
+    def intervals(log: DataFrame) -> DataFrame:
+        rows = log.drop("valid_to").withColumnRenamed("valid_from", "event_time")
+        return status_history(rows).select("entity_id", "product_type", "status", "valid_from", "valid_to", "event_token")
 
     def state(self) -> DataFrame:
         return self.store.read("current_state").filter("NOT coalesce(is_deleted, false)").drop("is_deleted")
@@ -108,7 +131,7 @@ class Pipeline:
         return self._start(name, stream.writeStream.outputMode(mode).foreachBatch(write), once)
 
     def start_bronze(self, log: DataFrame, once: bool = False) -> StreamingQuery:
-        return self._sink("bronze", parse_envelope(log), lambda b, i: self.store.append("bronze", b, "bronze", i) and None, once)
+        return self._sink("bronze", parse_envelope(log), self.write_bronze, once)
 
     def start_silver(self, once: bool = False) -> StreamingQuery:
         self.store.wait_until_exists("bronze")

@@ -3,17 +3,25 @@
 import datetime
 import itertools
 import json
+import os
+import signal
+import time
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
-from tidemark.operators.prepare import dedup_batch
+from tidemark import jobs
+from tidemark.operators.prepare import dedup_batch, dedup_stream
+from tidemark.plans.reports import register_views
 from tidemark.operators.state import STATE_COLUMNS, apply_changes
 from tidemark.sources.changes import PositionLost, read_range, register
+from tidemark.sources.documents import DocumentStore, change_stream, read_changes
+from tidemark.sources.generator import generate, load_stream
 from tidemark.sources.store import UPSERT, DuplicateSourceKeys, TableStore, When
 from tidemark.streaming.pipeline import Pipeline
+from tidemark.streaming.supervisor import Supervisor, watch
 
 
 @pytest.fixture
@@ -226,12 +234,124 @@ def test_change_log(spark, tmp_path):
         list(read_range(path, "t", part, 0, 5))
 
 
-def test_full_pipeline(spark):
-    from support import DATA
-    from tidemark.plans.queries import QUERIES
+def test_change_stream_resumes_and_stops_where_it_cannot(spark, tmp_path):
+    store = DocumentStore(str(tmp_path / "c"))
+    for i in range(6):
+        store.insert(f"k/{i}", {"n": i}, i)
+        store.flush()
+    store.set_fields("k/0", {"n": 10}, 7)
+    store.set_fields("k/0", {"n": 11}, 8)
+    store.delete("k/1", 9)
+    store.flush()
 
-    sizes = {r.table_name: r.n_rows for r in QUERIES["full_pipeline"](spark, DATA).collect()}
-    assert sizes["bronze"] > sizes["history"] > sizes["current_state"] > 150
-    assert sizes["decision_time"] > 50 and sizes["open_counts"] > 3
-    ops = {r.operation_type: r for r in QUERIES["load_generator"](spark, DATA).collect()}
-    assert set(ops) == {"insert", "update", "delete"} and all(r.events == r.tokens for r in ops.values())
+    def run(view, checkpoint, **options):
+        q = change_stream(spark, str(tmp_path / "c"), **options).writeStream.format("memory").queryName(view).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [tuple(r) for r in spark.table(view).orderBy("event_id").select("operation_type", "document_key", "full_document", "full_document_before_change", "update_description").collect()]
+
+    rows = run("changes_a", "a", resume_after="start")
+    assert [r[0] for r in rows] == ["insert"] * 6 + ["update", "update", "delete"]
+    # an update has the image of when it is read, its own fields and the image before it
+    assert json.loads(rows[6][2]) == {"n": 11} and json.loads(rows[6][3]) == {"n": 0} and json.loads(rows[6][4])["updatedFields"] == {"n": 10}
+    assert rows[8][2] is None and json.loads(rows[8][3]) == {"n": 1}
+    assert len(run("changes_b", "b", resume_after=f"{5:020d}")) == 3
+    assert run("changes_c", "c") == []  # from now on
+    store.trim(6)
+    with pytest.raises(PositionLost):
+        list(read_changes(str(tmp_path / "c"), 0, 9))
+    with pytest.raises(Exception, match="PositionLost"):
+        run("changes_d", "d", resume_after=f"{1:020d}")
+    store.drop()
+    with pytest.raises(PositionLost):
+        list(read_changes(str(tmp_path / "c"), 6, 9))
+
+
+def test_jobs_from_a_collection_to_metrics(spark, tmp_path):
+    env = {f"TIDEMARK_{k}": str(tmp_path / v) for k, v in {"ROOT": "t", "CHECKPOINTS": "cp", "COLLECTION": "docs", "LOG_PATH": "log"}.items()}
+    env |= {"TIDEMARK_MERGE_BUCKETS": "2", "TIDEMARK_MAX_EVENTS_PER_TRIGGER": "2"}
+    store = DocumentStore(str(tmp_path / "docs"))
+    doc = {"id_proposta": "p1", "tipo_produto": "cartao", "status": "em_analise", "valor_solicitado": 900.0}
+    store.insert("1", doc, 1_000)
+    store.insert("2", doc | {"id_proposta": "p2"}, 1_001)
+    store.set_fields("1", {"status": "aprovada"}, 1_060)
+    store.delete("2", 1_070)
+    store.flush()
+    for job in ("connector", "bronze", "silver", "gold", "quality"):
+        jobs.main([job, "--once"], spark, env)
+    tables = TableStore(spark, str(tmp_path / "t"))
+    assert tables.read("bronze").count() == 4 and tables.read("history").count() == 4
+    assert [(r.entity_id, r.decision_seconds) for r in tables.read("decision_time").collect()] == [("p1", 60)]
+    assert [(r.status, r.quantity) for r in tables.read("open_counts").collect()] == [("aprovada", 1)]
+    jobs.main(["compact"], spark, env)
+    jobs.main(["bronze", "--once"], spark, env)
+    assert tables.read("bronze").count() == 4
+    register_views(tables)
+    assert spark.sql("SELECT sum(quantidade) AS n FROM contagem_atual_por_status").first().n == 1
+    with pytest.raises(ValueError):
+        Settings.from_env({"TIDEMARK_LOG_FORMAT": "kafka"})
+
+
+def test_load_as_a_stream(spark):
+    events = load_stream(spark, 50)
+    assert events.isStreaming and events.columns == generate(spark, 1).columns
+    q = events.writeStream.format("memory").queryName("load_rows").start()
+    try:
+        for _ in range(100):
+            if spark.table("load_rows").count() > 20:
+                break
+            time.sleep(0.2)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.table("load_rows").filter("operation_type = 'insert'").count() >= 10
+
+
+def test_supervised_queries_restart_together_and_stop_on_a_signal(spark, tmp_path):
+    progress, store = watch(spark), TableStore(spark, str(tmp_path))
+    store.ensure("t", "n long")
+    store.append("t", spark.range(3).toDF("n"))
+    failures, halves = [], []
+
+    def start():
+        def write(batch, i):
+            if not failures:
+                failures.append(i)
+                raise OSError("down")
+            if batch.count():
+                os.kill(os.getpid(), signal.SIGTERM)
+
+        sink = lambda f, name: store.stream("t").writeStream.foreachBatch(f).queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        first = sink(write, "watched")
+        if len(failures) == 1 and not halves:  # the second cannot start: the first must not be left running
+            halves.append(1)
+            raise OSError("no start")
+        return [first, sink(lambda b, i: None, "other")]
+
+    before = signal.getsignal(signal.SIGTERM), signal.getsignal(signal.SIGINT)
+    try:
+        s = Supervisor(start, 1, 2)
+        s.install_signals()
+        s.run()
+    finally:
+        signal.signal(signal.SIGTERM, before[0])
+        signal.signal(signal.SIGINT, before[1])
+        spark.streams.removeListener(progress)
+    assert s.restarts == 2 and s.stopping.is_set() and not spark.streams.active
+    assert progress.last["watched"]["rows"] in (0, 3)
+
+
+def test_tokens_expire_with_the_watermark(spark, tmp_path):
+    """A copy within the watermark is dropped; a late one, which the state no longer has, is dropped as late."""
+    store = TableStore(spark, str(tmp_path))
+    store.ensure("e", "event_token string, event_time timestamp")
+    store.ensure("out", "event_token string, event_time timestamp")
+    row = lambda t, at: spark.createDataFrame([(t, at)], "event_token string, at string").select("event_token", F.col("at").cast("timestamp").alias("event_time"))
+    q = dedup_stream(store.stream("e"), "1 minute").writeStream.foreachBatch(lambda b, i: store.append("out", b, "o", i) and None).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for t, at in (("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:00:30"), ("b", "2024-01-01 11:00:00"), ("c", "2024-01-01 11:00:10"), ("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 11:00:20")):
+            store.append("e", row(t, at))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r.event_token, str(r.event_time)) for r in store.read("out").collect())
+    assert got == [("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 11:00:20"), ("b", "2024-01-01 11:00:00"), ("c", "2024-01-01 11:00:10")]

@@ -40,7 +40,10 @@ class Rules:
 
 @dataclass(frozen=True)
 class Settings:
-    """Durations are strings as Spark reads them. ``strict_late_state``: keep the plain time guard of the state upsert (see ``operators.state``)."""
+    """Durations are strings as Spark reads them. ``strict_late_state``: keep the plain time guard of the state upsert (see ``operators.state``).
+
+    The connector hands on at most ``max_events_per_trigger`` events, or what there is after ``connector_trigger``.
+    """
 
     root: str = "tidemark-tables"
     checkpoints: str = "tidemark-checkpoints"
@@ -52,17 +55,30 @@ class Settings:
     retry_first_ms: int = 1_000
     retry_most_ms: int = 30_000
     strict_late_state: bool = False
+    collection: str = "tidemark-collection"
+    connector_trigger: str = "2 seconds"
+    max_events_per_trigger: int = 50
+    log_format: str = "tidemark_log"
+    log_path: str = "tidemark-log"
+    log_servers: str = ""
+    log_topic: str = "changes"
+    load_per_second: int = 5
+    load_seed: int = 42
     rules: Rules = field(default_factory=Rules)
 
     def __post_init__(self):
-        for name in ("max_files_per_trigger", "merge_buckets", "retry_first_ms"):
+        for name in ("max_files_per_trigger", "merge_buckets", "retry_first_ms", "max_events_per_trigger", "load_per_second"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be above zero")
         if self.retry_most_ms < self.retry_first_ms:
             raise ValueError("retry_most_ms must not be below retry_first_ms")
-        for name in ("watermark", "window", "trigger"):
+        for name in ("watermark", "window", "trigger", "connector_trigger"):
             if not _DURATION.fullmatch(getattr(self, name)):
                 raise ValueError(f"{name} is no duration: {getattr(self, name)!r}")
+        if self.log_format not in ("tidemark_log", "kafka"):
+            raise ValueError(f"log_format must be tidemark_log or kafka, not {self.log_format!r}")
+        if self.log_format == "kafka" and not self.log_servers:
+            raise ValueError("log_servers must name the servers of the log")
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "TIDEMARK_") -> Settings:

@@ -1,13 +1,20 @@
 """Language-model scores from the lattice of all segmentations of a text.
 
-The pieces are those of an existing public vocabulary with word ends; none is added or removed.
-Their first scores follow their order in the vocabulary. Expected counts over all segmentations
-of the distinct training words (forward-backward in log space) then re-estimate the scores, for
-each class of texts (language) on its own. A word's probability in a class sums over every
-segmentation into pieces, by forward recursion in log space, and over the segment that is the
-whole word, if training has seen it: seen words keep their discounted counts, and what the
-discount takes is the weight of the pieces. A text is a sequence of words and an end; its
-probability is the classes' mixture of the products. Classes are never read when texts are scored.
+The vocabulary is an existing public one with word ends; no piece is added or removed. None of the
+public files that are installed holds unigram scores (they hold merges), so that the scores are
+estimated here: they start from the order in the vocabulary and are re-estimated by expected counts
+over all segmentations of the distinct training words (forward-backward in log space), for each
+class of texts (language) on its own.
+
+The lattice of a word has an edge for each piece, and one for the whole word if training has seen
+it (``word_segments``; without it the pieces are all there is). Forward recursion in log space sums
+over all paths. The whole-word edge has the word's count less a discount, in its class and, for a
+share of what the discount leaves, in all classes; pieces have the rest. So pieces are estimated on
+what is left to them, one count for each distinct word; without whole-word edges on all tokens.
+Discounts follow from the numbers of words that occur once to four times.
+
+A text is a sequence of words and an end; its probability is the classes' mixture of the products.
+Classes are never read when texts are scored. All of this is a distribution over texts of any words.
 
 Word counts of the training rows are grouped before they are shuffled. The most frequent words go
 to all tasks, as many as a fixed bound; all other words of a document meet their counts in a join
@@ -24,15 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BPE, materialize, slices, text_of, vocabulary_path
+from .common import WORD_BPE, materialize, slices, spread, text_of, vocabulary_path
 
 #: Frequent words that are sent to all tasks, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 300_000, 64
 #: Rounds of re-estimation; weight of the first scores in it, in counts.
-ROUNDS = 3
-PRIOR_COUNT = 1_000.0
-#: What a seen word's count gives to the pieces, and the most classes; further ones share the last.
-DISCOUNT = 0.75
+ROUNDS = 6
+PRIOR_COUNT = 100.0
+#: Of what discounts leave in a class, the share of words seen in any class; pieces have the rest.
+SHARED = 0.1
+#: Classes of training rows that have scores of their own; the rarest beyond that share one.
 MAX_CLASSES = 8
 #: Distinct words that a task counts before it hands on its sums.
 COUNTER_WORDS = 400_000
@@ -201,7 +209,7 @@ def split_tokens(texts):
     return words, of
 
 
-def count_words(texts: DataFrame) -> DataFrame:
+def count_words(texts: DataFrame, classes: int) -> DataFrame:
     """``word, class, c`` over the columns ``text, class``; each task sums up what it has before the shuffle, within a bound."""
 
     def run(batches):
@@ -216,9 +224,9 @@ def count_words(texts: DataFrame) -> DataFrame:
             for part in slices(batch, 0):
                 words, of = split_tokens(part.column(0))
                 coded = words.dictionary_encode()
-                key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * MAX_CLASSES + part.column(1).to_numpy()[of]
+                key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * classes + part.column(1).to_numpy()[of]
                 pair, times = np.unique(key, return_counts=True)
-                held.append(pa.table({"word": coded.dictionary.take(pa.array(pair // MAX_CLASSES)), "class": pa.array(pair % MAX_CLASSES, pa.int32()), "c": pa.array(times, pa.int64())}))
+                held.append(pa.table({"word": coded.dictionary.take(pa.array(pair // classes)), "class": pa.array(pair % classes, pa.int32()), "c": pa.array(times, pa.int64())}))
                 n += len(pair)
                 if n > 2 * COUNTER_WORDS:
                     held = [merged(held)]
@@ -232,8 +240,8 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text", "class").mapInArrow(run, "word string, class int, c long")
 
 
-def fit_scores(counts: DataFrame, classes: int, vocabulary: str = WORD_BPE, rounds: int = ROUNDS) -> np.ndarray:
-    """The pieces' log probabilities by class after ``rounds`` of re-estimation on all distinct words (column ``cs``: counts by class)."""
+def fit_scores(counts: DataFrame, classes: int, vocabulary: str = WORD_BPE, rounds: int = ROUNDS, by_token: bool = False) -> np.ndarray:
+    """The pieces' log probabilities by class after ``rounds`` of re-estimation on all distinct words (column ``cs``: counts by class), weighted by their counts if ``by_token``."""
     spark = counts.sparkSession
     first = np.repeat(pieces_of(vocabulary_path(vocabulary)).first_scores()[:, None], classes, axis=1)
     scores = first
@@ -246,8 +254,9 @@ def fit_scores(counts: DataFrame, classes: int, vocabulary: str = WORD_BPE, roun
             pieces, total = pieces_of(vocabulary_path(vocabulary)), np.zeros(sent.value.shape)
             for part in gathered(batches):
                 if part.num_rows:
-                    seen = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, classes) > 0
-                    total += expected_counts(pieces, sent.value, part.column(0).cast(pa.binary()).to_pylist(), seen.astype(np.float64))
+                    weight = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, classes).astype(np.float64)
+                    weight = weight if by_token else (weight > 0).astype(np.float64)
+                    total += expected_counts(pieces, sent.value, part.column(0).cast(pa.binary()).to_pylist(), weight)
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], ["at", "x"])
 
@@ -256,22 +265,50 @@ def fit_scores(counts: DataFrame, classes: int, vocabulary: str = WORD_BPE, roun
         np.add.at(total.reshape(-1), found["at"].to_numpy(), found["x"].to_numpy())
         with np.errstate(divide="ignore"):
             scores = np.log(total / total.sum(axis=0))
+        sent.unpersist()
     return scores
 
 
-def word_scores(sub: np.ndarray, cs: np.ndarray, types: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Log10 probability of words by class from their pieces' log probability and their counts."""
-    own = np.maximum(cs - DISCOUNT, 0.0) / tokens
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(own), np.log(DISCOUNT * types / tokens) + sub) / np.log(10)
+def discounts(n: list[int]) -> np.ndarray:
+    """What is taken from counts of 0, 1, 2, and 3 or more, by the numbers ``n`` of words that occur once to four times."""
+    if min(n[:3]) == 0:
+        return np.array([0.0, 0.75, 0.75, 0.75])
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [(k + 1) - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
+    return np.array([0.0, *(min(max(x, 0.1), k + 0.9) for k, x in enumerate(d))])
 
 
-def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", vocabulary: str = WORD_BPE, head_words: int = HEAD_WORDS) -> DataFrame:
+class WordModel:
+    """Probabilities of words by class from their pieces' and their counts; ``tokens`` and ``left`` (what discounts leave) by class.
+
+    ``shared``: discounted counts of all words over all classes. ``words`` is whether whole-word edges are there.
+    """
+
+    def __init__(self, words: bool, discount: np.ndarray, tokens: np.ndarray, left: np.ndarray, shared: float):
+        self.words, self.discount, self.tokens, self.left, self.shared = words, discount, tokens, left, shared
+
+    def less(self, c: np.ndarray) -> np.ndarray:
+        return c - self.discount[np.minimum(c, 3).astype(np.int64)]
+
+    def log10(self, sub: np.ndarray, cs: np.ndarray) -> np.ndarray:
+        """Of words whose pieces have the log probabilities ``sub`` and whose counts are ``cs`` (both by class)."""
+        rest = np.log(self.left / self.tokens) + sub
+        if not self.words:
+            return rest / np.log(10)
+        if self.shared:
+            with np.errstate(divide="ignore"):
+                seen = np.log(self.less(cs.sum(axis=1)) / self.shared * SHARED)[:, None] + np.log(self.left / self.tokens)
+            rest = np.logaddexp(rest + np.log(1 - SHARED), seen)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(self.less(cs) / self.tokens), rest) / np.log(10)
+
+
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang", vocabulary: str = WORD_BPE, head_words: int = HEAD_WORDS, max_classes: int = MAX_CLASSES, word_segments: bool = True) -> DataFrame:
     """One row for each row: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``learn`` is a condition on ``id``; rows that it does not hold for, or is null for, are held
     out. ``class_col`` is read of the training rows alone; null is a class like any other, and
-    beyond ``MAX_CLASSES`` classes the rarer ones are one. A null text is empty: its only token is
+    beyond ``max_classes`` classes the rarer ones are one. ``word_segments``: see above. A null text is empty: its only token is
     the end. Repeated rows are counted and scored each. Very long texts and words are scored
     whole. Other columns are not read. No rows give no rows. Without training rows all base scores
     are 0, pieces keep their first scores and an end has probability one half.
@@ -280,31 +317,41 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("name"))
     rows = rows.withColumn("learnt", F.coalesce(learn, F.lit(False)))
     train = rows.filter("learnt")
-    names = train.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(MAX_CLASSES - 1).collect()
+    names = train.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(max_classes - 1).collect()
     class_of = F.coalesce(F.array_position(F.array(*[F.lit(r.name) for r in names]).cast("array<string>"), F.col("name")) - 1, F.lit(-1)).cast("int")
     others = len(names)
     train = train.withColumn("class", F.when(class_of < 0, F.lit(others)).otherwise(class_of))
     sizes = {r["class"]: r.n for r in train.groupBy("class").agg(F.count("*").alias("n")).collect()}
     k = max([*sizes, 0]) + 1
     by_class = [F.sum(F.when(F.col("class") == i, F.col("c")).otherwise(0)) for i in range(k)]
-    counts = materialize(count_words(train).groupBy("word").agg(F.sum("c").alias("c"), F.array(*by_class).alias("cs")), "word-counts")
+    counts = materialize(count_words(spread(train), max_classes).groupBy("word").agg(F.sum("c").alias("c"), F.array(*by_class).alias("cs")), "word-counts")
     n_texts = sum(sizes.values())
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.coalesce(F.sum(F.col("cs")[i]), F.lit(0)).alias(f"n{i}") for i in range(k)], *[F.count(F.when(F.col("cs")[i] > 0, 1)).alias(f"v{i}") for i in range(k)]).first()
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    when = lambda c: F.count(F.when(c, 1))
+    of = [F.col("cs")[i] for i in range(k)]
+    totals = counts.agg(
+        zero("c").alias("n"), F.count("*").alias("v"), *[when(F.col("c") == i).alias(f"t{i}") for i in range(1, 5)],
+        *[zero(x).alias(f"n{i}") for i, x in enumerate(of)], *[when(x == m).alias(f"v{m}_{i}") for i, x in enumerate(of) for m in (1, 2)], *[when(x > 2).alias(f"v3_{i}") for i, x in enumerate(of)],
+    ).first()
     n_tokens, n_types = totals.n + n_texts, totals.v + (n_texts > 0)
     ends = np.array([sizes.get(i, 0) for i in range(k)], np.float64)
-    types = np.array([totals[f"v{i}"] for i in range(k)], np.float64)
-    tokens = np.array([totals[f"n{i}"] for i in range(k)], np.float64) + ends
+    words = np.array([totals[f"n{i}"] for i in range(k)], np.float64)
     prior = np.log10((ends + 0.5) / (ends.sum() + 0.5 * k))
+    taken = discounts([totals[f"t{i}"] for i in range(1, 5)])
+    left = sum(taken[m] * np.array([totals[f"v{m}_{i}"] for i in range(k)], np.float64) for m in (1, 2, 3)) if word_segments else words
+    shared = totals.n - (taken[1] * totals.t1 + taken[2] * totals.t2 + taken[3] * (totals.v - totals.t1 - totals.t2))
     # a class without words: pieces alone, at even odds with the end
-    bare = types == 0
-    types, tokens, ends = np.where(bare, 1 / DISCOUNT, types), np.where(bare, 1 + np.maximum(ends, 1), tokens), np.maximum(ends, 1)
+    bare = words == 0
+    ends = np.maximum(ends, 1)
+    tokens, left = np.where(bare, 2 * ends, words + ends), np.where(bare, ends, left)
+    model = WordModel(word_segments, taken, tokens, left, float(shared))
     end_scores = np.log10(ends / tokens)
-    scores = fit_scores(counts, k, vocabulary)
+    scores = fit_scores(counts, k, vocabulary, by_token=not word_segments)
 
     frequent = counts.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_words).toArrow()
     head_c, head_cs = frequent.column("c").to_numpy(), frequent.column("cs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
     head = frequent.column("word").to_pylist()
-    head_lm = word_scores(marginals(pieces_of(vocabulary_path(vocabulary)), scores, [w.encode() for w in head]), head_cs, types, tokens)
+    head_lm = model.log10(marginals(pieces_of(vocabulary_path(vocabulary)), scores, [w.encode() for w in head]), head_cs)
     least = int(head_c.min()) if len(head) == head_words else 0
     sent = spark.sparkContext.broadcast((head, head_c, head_lm))
 
@@ -351,14 +398,14 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 has = given.is_valid().to_numpy(zero_copy_only=False)
                 cs[has] = given.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                 times = part.column(2).to_numpy()
-                lm = word_scores(sub, cs, types, tokens) * times[:, None]
+                lm = model.log10(sub, cs) * times[:, None]
                 base = np.log10(cs.sum(axis=1) + 1.0) * times
                 seen = np.where(cs.sum(axis=1) > 0, times, 0)
                 # a row's words are together only after the shuffle by row: sums, not words, go there
                 yield pa.record_batch([part.column(0), pa.array(base, pa.float64()), pa.array(seen, pa.int64()), *(pa.array(lm[:, i], pa.float64()) for i in range(k))], ["row", "base", "seen", *(f"lm{i}" for i in range(k))])
 
     sent_scores = spark.sparkContext.broadcast(scores)
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "learnt", "text")
+    numbered = spread(rows.select("id", "learnt", "text")).select(F.monotonically_increasing_id().alias("row"), "id", "learnt", "text")
     schema = T.StructType([*numbered.schema.fields[:3], *T.StructType.fromDDL("n_tokens long, seen long, base double, lm array<double>, rare array<string>, times array<long>").fields])
     scored = materialize(numbered.mapInArrow(run, schema), "scored")
     words = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))

@@ -14,11 +14,13 @@ from ..operators.prepare import dedup_batch, dedup_stream, prepare_events
 from ..operators.quality import lifecycle_graph, state_and_range_violations, transition_violations, violations_of
 from ..operators.state import apply_changes, current_state, latest_per_key
 from ..sources.changes import register
-from ..sources.generator import change_events, generate
+from ..sources.documents import DocumentStore
+from ..sources.documents import change_stream as read_change_stream
+from ..sources.generator import CORRECTION_SHARE, DELETE_SHARE, FIRST_STATUS, MOVES, PRODUCTS, change_events
 from ..sources.store import UPSERT, TableStore, When
-from ..streaming.pipeline import Pipeline, drain
+from ..streaming.pipeline import STRICT_STATE_CLAUSES, Pipeline, drain
 from .cdc_view import CDC_SQL, EVENT_RULES, SLICES, cdc, cdc_of, documents, ntz, scratch, slices_of, table
-from .reports import DECISIONS, REPORTS, report
+from .reports import DECISIONS, REPORTS, register_views, report
 
 _R = EVENT_RULES
 
@@ -207,7 +209,7 @@ def state_range_violations(spark, d):
 
 
 def state_range_violations_documents(spark, d):
-    return state_and_range_violations(_bronze(spark, d), _R).drop("detail")
+    return state_and_range_violations(_bronze(spark, d), _R)
 
 
 def orders_range_violations(spark, d):
@@ -292,7 +294,7 @@ def late_rows_dropped(spark, d):
     store.ensure("history", typed.schema)
     stream = status_funnel(store.stream("history"), "1 minute", "30 seconds")
     store.ensure("funnel", stream.schema, ("window_start", "window_end", "product_type", "status"))
-    q = stream.writeStream.outputMode("update").foreachBatch(lambda b, i: store.merge("funnel", b, UPSERT, "funnel", i) and None).option("checkpointLocation", f"{root}/checkpoint").start()
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda b, i: store.merge("funnel", b, UPSERT, "funnel", i) and None).option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime="100 milliseconds").start()
     try:
         for n in range(4):
             store.append("history", typed.filter(F.col("n") == n))
@@ -324,26 +326,93 @@ def change_log_round_trip(spark, d):
 
 
 def load_generator(spark, d):
+    """The load of an entity for each customer, by operation and the status that it leaves behind."""
     n = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return change_events(n).groupBy("operation_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("tokens"))
+    doc = F.coalesce("full_document", "full_document_before_change")
+    events = change_events(n).select("event_id", "operation_type", text_at(doc, "$.tipo_produto").alias("product_type"), text_at(doc, "$.status").alias("status"))
+    return events.groupBy("operation_type", "product_type", "status").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("tokens"))
+
+
+_TABLES = ("bronze", "history", "created_documents", "current_state", "status_funnel", "product_volume", "decision_time", "open_counts", "quality_violations")
 
 
 def full_pipeline(spark, d):
-    """Generated changes through the log, bronze, history, state, metrics and violations; rows of each table."""
+    """All events through the log, bronze, history, state, metrics and violations; rows of each table."""
     root = scratch(spark)
-    settings = Settings(root=f"{root}/tables", checkpoints=f"{root}/checkpoints", merge_buckets=4)
+    settings = Settings(root=f"{root}/tables", checkpoints=f"{root}/checkpoints", merge_buckets=4, watermark="60 days", rules=_R)
     pipeline = Pipeline(spark, settings)
     register(spark)
     path = f"{root}/log".removeprefix("file:")
-    build_envelope(generate(spark, 200)).write.format("tidemark_log").mode("append").save(path)
+    build_envelope(documents(cdc_of(spark, d))).write.format("tidemark_log").mode("append").save(path)
     pipeline.run_once(spark.readStream.format("tidemark_log").load(path))
     out = None
-    for name in ("bronze", "history", "current_state", "status_funnel", "product_volume", "decision_time", "open_counts", "quality_violations"):
+    for name in _TABLES:
         n = pipeline.store.read(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
         out = n if out is None else out.unionByName(n)
     return out
 
 
+def store_replay_stream(spark, d):
+    """Slices appended, replayed, cut off before they are moved, and compacted; what a stream of the table then gives."""
+    root = scratch(spark)
+    store = TableStore(spark, root)
+    view = cdc_of(spark, d).select("event_token", "operation_type", F.to_date("event_time").alias("event_date"))
+    store.ensure("events", view.schema, partition_by=("event_date",))
+    slices = [view.filter(f"event_token % 3 = {i}") for i in range(3)]
+    for i, s in enumerate(slices):
+        writer = TableStore(spark, root)
+        if i == 2:
+            writer._publish = lambda *_: None  # it dies between its commit and the move
+        writer.append("events", s, "q", i)
+        store.append("events", s, "q", i)
+        if i == 1:
+            store.compact("events")
+    store.ensure("copies", view.schema)
+    drain(store.stream("events").writeStream.foreachBatch(lambda b, i: store.append("copies", b, "copies", i) and None).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    return store.read("copies").groupBy("event_date", "operation_type").agg(F.count("*").alias("events"))
+
+
+def stored_views(spark, d):
+    """SQL over the stored tables under the names that existing queries use."""
+    store = TableStore(spark, scratch(spark))
+    funnel = status_funnel(_history(spark, d))
+    store.ensure("status_funnel", funnel.schema)
+    store.append("status_funnel", funnel)
+    register_views(store)
+    return spark.sql("SELECT tipo_produto, status, CAST(sum(quantidade) AS BIGINT) AS quantidade_total FROM funil_status GROUP BY tipo_produto, status")
+
+
+def current_state_strict(spark, d):
+    """The plain clauses, which are right for batches in order."""
+    view = cdc_of(spark, d)
+    store = TableStore(spark, scratch(spark), buckets=8)
+    deleted = (F.col("operation_type") == "delete").alias("is_deleted")
+    store.ensure("state", view.select(*_STATE, deleted).schema, ("entity_id",))
+    for i, s in enumerate(slices_of(view)):
+        store.merge("state", latest_per_key(s.select(*_STATE, deleted)), STRICT_STATE_CLAUSES, "state", i)
+    return ntz(store.read("state").drop("is_deleted"))
+
+
+def change_stream(spark, d):
+    """A collection of nations: inserts, updates and deletes, its change stream, and the envelopes of it."""
+    path = f"{scratch(spark)}/collection".removeprefix("file:")
+    store = DocumentStore(path)
+    for r in table(spark, d, "nation").orderBy("n_nationkey").collect():
+        store.insert(str(r.n_nationkey), {"id_proposta": r.n_name, "status": "open", "region": r.n_regionkey}, r.n_nationkey)
+        if r.n_regionkey == 1:
+            store.set_fields(str(r.n_nationkey), {"status": "closed"}, 100 + r.n_nationkey)
+        if r.n_regionkey == 2:
+            store.delete(str(r.n_nationkey), 200 + r.n_nationkey)
+        store.flush()
+    root = scratch(spark)
+    tables = TableStore(spark, root)
+    envelopes = parse_envelope(_log_records(build_envelope(read_change_stream(spark, path, "start", 10))))
+    tables.ensure("bronze", envelopes.schema)
+    drain(envelopes.writeStream.foreachBatch(lambda b, i: tables.append("bronze", b, "bronze", i) and None).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    doc = F.coalesce("full_document_json", "full_document_before_change_json")
+    return tables.read("bronze").select("entity_id", "operation_type", "cluster_time_epoch", text_at(doc, "$.status").alias("status"), text_at(F.col("update_description_json"), "$.updatedFields.status").alias("own_status"))
+
+
 _NAMES = {
     "current_state_batch": "current_state", "status_funnel_batch": "status_funnel", "product_volume_batch": "product_volume",
     "decision_time_batch": "decision_time", "open_counts_batch": "open_counts", "transition_violations_batch": "transition_violations",
@@ -357,6 +426,7 @@ QUERIES = {
         open_counts_batch, open_counts_overwrite, state_range_violations, state_range_violations_documents, orders_range_violations, transition_violations_batch,
         transition_violations_incremental, report_funnel, report_approval_rate, report_decision_time, report_volume, report_violations, report_reconciliation,
         reconciliation, merge_generic, late_rows_dropped, id_fallback, lifecycle_edges, change_log_round_trip, load_generator, full_pipeline,
+        store_replay_stream, stored_views, current_state_strict, change_stream,
     )
 }
 
@@ -386,6 +456,43 @@ _OPEN_SQL = f"WITH {_HISTORY}, {_OPEN} SELECT * FROM open_counts"
 _TEXT = {k: v.format(**DECISIONS) for k, v in REPORTS.items()}
 _EPOCH = "CAST(floor(epoch(event_time)) AS BIGINT)"
 
+_PREPARED = f"{CDC_SQL}, prepared AS (SELECT CAST(event_token AS VARCHAR) AS event_token, CASE WHEN bare THEN 'key-' || entity_id ELSE entity_id END AS entity_id, date_trunc('second', event_time) AS event_time, CASE WHEN NOT bare THEN product_type END AS product_type, status, operation_type, amount FROM (SELECT *, operation_type = 'delete' AND event_token % 2 = 1 AS bare FROM cdc)), history AS (SELECT *, event_time AS valid_from, lead(event_time) OVER w AS valid_to, lag(status) OVER w AS before FROM prepared WHERE status <> 'view' WINDOW w AS (PARTITION BY entity_id ORDER BY event_time, event_token))"
+_DETAILS = f"""SELECT 'estado_impossivel' AS violation_type, entity_id, product_type, 'status desconhecido: ' || status AS detail FROM cdc WHERE operation_type <> 'delete' AND status NOT IN ('signup', 'view', 'click', 'error')
+    UNION ALL SELECT 'valor_fora_de_faixa', entity_id, product_type, 'valor_solicitado fora da faixa esperada: ' || CAST(amount AS VARCHAR) FROM cdc WHERE operation_type <> 'delete' AND {_RANGE}"""
+_ROWS = {
+    "bronze": "SELECT count(*) FROM prepared", "history": "SELECT count(*) FROM history", "created_documents": "SELECT count(*) FROM prepared WHERE operation_type = 'insert'",
+    "current_state": "SELECT count(DISTINCT entity_id) FROM prepared", "status_funnel": "SELECT count(*) FROM (SELECT DISTINCT date_trunc('day', valid_from), product_type, status FROM history)",
+    "product_volume": "SELECT count(*) FROM (SELECT DISTINCT date_trunc('day', event_time), product_type FROM prepared WHERE operation_type = 'insert')",
+    "decision_time": "SELECT count(DISTINCT entity_id) FROM history WHERE status IN ('purchase', 'click')", "open_counts": "SELECT count(*) FROM (SELECT DISTINCT product_type, status FROM history WHERE valid_to IS NULL AND status <> 'error')",
+    "quality_violations": f"SELECT (SELECT count(*) FROM ({_BAD})) + (SELECT count(*) FROM ({_STATES}))",
+}
+
+
+def _uniform_sql(seed: int, *of: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join([str(seed), *of])})), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def _choose_sql(u: str, weights) -> str:
+    below, total, out = 0.0, sum(w for _, w in weights), "CASE"
+    for value, w in weights:
+        below += w / total
+        out += f" WHEN {u} < {below!r} THEN '{value}'"
+    return f"{out} ELSE '{weights[-1][0]}' END"
+
+
+_MOVE_SQL = "CASE status " + " ".join(f"WHEN '{s}' THEN {_choose_sql(_uniform_sql(52, 'id', 'step + 1'), w)}" for s, w in MOVES.items()) + " END"
+_LOAD_SQL = f"""
+    WITH RECURSIVE e AS (SELECT c_custkey AS id, {_choose_sql(_uniform_sql(42, 'c_custkey'), PRODUCTS)} AS product_type, {_uniform_sql(44, 'c_custkey')} < {DELETE_SHARE} AS deleted FROM customer),
+    path AS (SELECT id, 0 AS step, '{FIRST_STATUS}' AS status FROM e UNION ALL SELECT id, step + 1, {_MOVE_SQL} FROM path WHERE step < 6 AND status IN ({', '.join(f"'{s}'" for s in MOVES)})),
+    ops AS (SELECT p.*, e.product_type, e.deleted, step = max(step) OVER (PARTITION BY id) AS ends FROM path p JOIN e USING (id)),
+    events AS (
+        SELECT CASE step WHEN 0 THEN 'insert' ELSE 'update' END AS operation_type, product_type, status FROM ops
+        UNION ALL SELECT 'update', product_type, status FROM ops WHERE {_uniform_sql(46, 'id', 'step')} < {CORRECTION_SHARE}
+        UNION ALL SELECT 'delete', product_type, status FROM ops WHERE deleted AND ends
+    )
+    SELECT operation_type, product_type, status, count(*) AS events, count(*) AS tokens FROM events GROUP BY ALL
+"""
+
 ORACLE_SQL = {
     "bronze_envelope": f"WITH {CDC_SQL} SELECT CASE WHEN operation_type = 'delete' AND event_token % 2 = 1 THEN 'key-' || entity_id ELSE entity_id END AS entity_id, operation_type, {_EPOCH} AS cluster_time_epoch, CAST(event_token AS VARCHAR) AS event_token, operation_type = 'delete' AND event_token % 2 = 1 AS key_is_fallback, CAST(event_time AS DATE) AS event_date, CASE WHEN operation_type <> 'delete' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM cdc",
     "bronze_by_date": "SELECT CAST(ts AS DATE) AS event_date, count(*) AS events FROM events GROUP BY 1",
@@ -401,7 +508,13 @@ ORACLE_SQL = {
     "product_volume": _VOLUME_SQL, "product_volume_stream": _VOLUME_SQL, "product_volume_documents": _VOLUME_SQL,
     "product_volume_orders": "WITH o AS (SELECT time_bucket(INTERVAL 7 DAY, o_orderdate, TIMESTAMP '1970-01-01') AS window_start, * FROM orders) SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, o_orderpriority AS product_type, count(*) AS volume, round(sum(o_totalprice), 2) AS total_value FROM o GROUP BY ALL",
     "decision_time": _DECISIONS_SQL, "decision_time_incremental": _DECISIONS_SQL, "open_counts": _OPEN_SQL, "open_counts_overwrite": _OPEN_SQL,
-    "state_range_violations": f"WITH {CDC_SQL} {_STATES}", "state_range_violations_documents": f"WITH {CDC_SQL} {_STATES}",
+    "state_range_violations": f"WITH {CDC_SQL} {_STATES}", "state_range_violations_documents": f"WITH {CDC_SQL} {_DETAILS}",
+    "load_generator": _LOAD_SQL,
+    "full_pipeline": f"WITH {_PREPARED} " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, ({x}) AS n_rows" for t, x in _ROWS.items()),
+    "store_replay_stream": f"WITH {CDC_SQL} SELECT CAST(event_time AS DATE) AS event_date, operation_type, count(*) AS events FROM cdc GROUP BY ALL",
+    "stored_views": f"WITH {_HISTORY} SELECT product_type AS tipo_produto, status, count(*) AS quantidade_total FROM history GROUP BY ALL",
+    "current_state_strict": _STATE_SQL,
+    "change_stream": "WITH n AS (SELECT *, CASE n_regionkey WHEN 1 THEN 'closed' ELSE 'open' END AS status FROM nation) SELECT n_name AS entity_id, op AS operation_type, CAST(n_nationkey + more AS BIGINT) AS cluster_time_epoch, CASE WHEN op = 'insert' THEN 'open' ELSE status END AS status, CASE op WHEN 'update' THEN 'closed' END AS own_status FROM n JOIN (VALUES ('insert', 0, NULL), ('update', 100, 1), ('delete', 200, 2)) AS o(op, more, region) ON region IS NULL OR region = n_regionkey",
     "orders_range_violations": "WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, o_orderpriority AS product_type, o_orderstatus AS status, o_totalprice AS amount FROM orders) SELECT 'estado_impossivel' AS violation_type, entity_id, product_type FROM o WHERE status IS NULL OR status NOT IN ('O', 'F') UNION ALL SELECT 'valor_fora_de_faixa', entity_id, product_type FROM o WHERE NOT coalesce(CASE product_type WHEN '1-URGENT' THEN amount BETWEEN 1000 AND 200000 WHEN '2-HIGH' THEN amount BETWEEN 1000 AND 100000 ELSE false END, false)",
     "transition_violations": f"WITH {_HISTORY} SELECT violation_type, entity_id, product_type, detail FROM ({_BAD})",
     "transition_violations_incremental": f"WITH {_HISTORY} SELECT violation_type, entity_id, product_type, detail FROM ({_BAD}) WHERE valid_from >= TIMESTAMP '{SLICES[1]}'",

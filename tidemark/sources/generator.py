@@ -21,8 +21,9 @@ DELETE_SHARE, CORRECTION_SHARE = 0.02, 0.05
 
 
 def uniform(seed: int, *of: Column) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) from a digest that any engine can work out."""
+    text = F.concat_ws(":", F.lit(seed).cast("string"), *[c.cast("string") for c in of])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
 
 
 def choose(u: Column, weights) -> Column:
@@ -81,3 +82,8 @@ def change_events(entities: DataFrame, seed: int = 42, steps: int = 6, start: in
 
 def generate(spark: SparkSession, entities: int, seed: int = 42) -> DataFrame:
     return change_events(spark.range(entities), seed)
+
+
+def load_stream(spark: SparkSession, per_second: int, seed: int = 42) -> DataFrame:
+    """The same as a stream of so many new entities a second."""
+    return change_events(spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select(F.col("value").alias("id")), seed)

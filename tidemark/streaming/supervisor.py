@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import signal
 import threading
-import time
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -21,43 +20,50 @@ FATAL = ("PositionLost", "OFFSET_LOST", "STREAM_FAILED_DATA_LOSS")
 
 
 class Supervisor:
-    """Starts a query and starts it again after failures, waiting longer each time; its checkpoint makes that safe."""
+    """Starts queries and, after a failure of one, stops all and starts them again, waiting longer each time; their checkpoints make that safe."""
 
-    def __init__(self, start: Callable[[], StreamingQuery], first_ms: int = 1_000, most_ms: int = 30_000, sleep: Callable[[float], None] = time.sleep):
-        self.start, self.first_ms, self.most_ms, self.sleep = start, first_ms, most_ms, sleep
+    def __init__(self, start: Callable[[], StreamingQuery | list[StreamingQuery]], first_ms: int = 1_000, most_ms: int = 30_000, sleep: Callable[[float], None] | None = None):
+        self.start, self.first_ms, self.most_ms = start, first_ms, most_ms
         self.stopping = threading.Event()
+        self.sleep = sleep or self.stopping.wait
         self.restarts = 0
 
     def stop(self, *_) -> None:
         self.stopping.set()
 
     def install_signals(self) -> None:
-        """On SIGTERM and SIGINT the running query stops; what it had not committed is read again after a restart."""
+        """On SIGTERM and SIGINT running queries stop; what they had not committed is read again after a restart."""
         for s in (signal.SIGTERM, signal.SIGINT):
             signal.signal(s, self.stop)
 
     def run(self) -> None:
-        """Until the query ends by itself, ``stop`` is called, or an error is fatal."""
+        """Until all queries end by themselves, ``stop`` is called, or an error is fatal."""
         wait = self.first_ms
         while not self.stopping.is_set():
-            query = None
+            session = SparkSession.getActiveSession()
+            before = {q.id for q in session.streams.active} if session else set()
+            queries = []
             try:
-                query = self.start()
-                while not query.awaitTermination(0.2):
-                    if self.stopping.is_set():
-                        return
+                started = self.start()
+                queries = started if isinstance(started, list) else [started]
+                left = list(queries)
+                while left and not self.stopping.is_set():
+                    left = [q for q in left if not q.awaitTermination(0.2)]  # raises what the query failed with
                 return
             except Exception as e:
                 if any(x in f"{type(e).__name__} {e}" for x in FATAL):
                     raise
-                if query is not None and query.lastProgress is not None:
+                if any(q.lastProgress is not None for q in queries):
                     wait = self.first_ms
                 self.restarts += 1
                 self.sleep(wait / 1000)
                 wait = next_backoff_ms(wait, self.most_ms)
             finally:
-                if query is not None:
-                    query.stop()
+                for q in queries:
+                    q.stop()
+                for q in session.streams.active if session else ():  # of a start that failed half-way
+                    if q.id not in before:
+                        q.stop()
 
 
 class ProgressLog(StreamingQueryListener):

@@ -304,7 +304,7 @@ def test_top_k_by_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6) * rng.choice([0.1, 1, 5])]) for i in range(300)]
     rows += [(300, None), (301, [float("nan")] * 6), (302, [1.0, None]), (303, rows[0][1]), (None, rows[0][1]), (304, [1.0, 2.0]), (305, []), (50, rows[50][1])]
-    got = top_k.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=4, query_block=3).collect()
+    got = top_k.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=4, block_bytes=150).collect()
     good = [(i, np.floor(256 * np.pad(np.array(v), (0, 6 - len(v))))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = Counter()
     for q, v in good:
@@ -317,6 +317,19 @@ def test_top_k_by_brute_force(spark):
     assert [tuple(r) for r in few] == [(0, 1, 1, 256 * 512)]
 
 
+def test_top_k_with_one_very_long_vector(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 700 if i == 7 else 3)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("id", "v", "norm", "q", "uid", "a.b")})
+    got = Counter(map(tuple, top_k.exact_top_k(docs, F.col("id") % 7 == 0).collect()))
+    wide = np.array([np.floor(256 * np.pad(np.array(v), (0, 700 - len(v)))) for _, v in rows])
+    want = Counter()
+    for q in range(0, 60, 7):
+        best = sorted((-int(wide[q] @ w), i) for i, w in enumerate(wide) if i != q)[:5]
+        want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert got == want
+
+
 def test_top_k_where_tasks_read_short_vectors_first(spark):
     """More files than cores; long vectors have few distinct values, so that their files are the smallest and are read last."""
     rng = np.random.default_rng(4)

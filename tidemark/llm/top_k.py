@@ -3,10 +3,12 @@
 1. Every component ``x`` becomes the integer ``floor(scale * x)``. Vectors are range-partitioned
    and sorted by descending length.
 2. The matrix of summed outer products, gathered by partial sums, gives the right singular
-   vectors. Rotated by them, the leading coordinates hold most of an inner product.
-3. Queries go in blocks of bounded size. A block starts from its scores against the longest
-   vectors of all; each task then walks over tiles of its vectors, which descend within a file
-   but not from file to file. A query passes over a tile whose largest product of lengths
+   vectors. Rotated by them, the leading coordinates hold most of an inner product. Only the first
+   ``ROTATED`` components are rotated; further ones of very long vectors count as a rest.
+3. Queries go in blocks of bounded bytes, one after the other: a block's queries are sent to the
+   tasks, its result is written, and what was sent is released. A block starts from its scores
+   against the longest vectors of all; each task then walks over tiles of its vectors, which
+   descend within a file but not from file to file. A query passes over a tile whose largest product of lengths
    (Cauchy-Schwarz) is below its k-th score; a pair is dropped when the
    leading coordinates' sum plus the product of the residual lengths is. What is left is scored
    in integers, and the tasks' best are merged.
@@ -25,11 +27,13 @@ from pyspark.sql import Window as W
 from .common import materialize
 
 SCALE = 256
-#: Queries in a block, and longest vectors that give the first thresholds.
-QUERY_BLOCK = 8_192
+#: Bytes of the queries in a block, about, and longest vectors that give the first thresholds, at most as many bytes.
+BLOCK_BYTES = 32_000_000
 HEAD = 2_048
-#: Vectors and queries that are multiplied at a time.
-TILE = 1_024
+#: Vectors and queries that are multiplied at a time, and components in a tile, or one vector.
+TILE, TILE_CELLS = 1_024, 4_000_000
+#: Components that are rotated.
+ROTATED = 512
 
 
 def rows_of(column, dim: int) -> np.ndarray:
@@ -50,8 +54,27 @@ def to_integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCAL
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
 
+def tiles(batch, dim: int):
+    """Parts of an Arrow batch ``id, v`` as ids and matrices, of bounded size; no wider than their longest vector."""
+    import pyarrow.compute as pc
+
+    longest = max(1, pc.max(batch.column(1).value_lengths()).as_py() or 1) if batch.num_rows else 1
+    step = max(1, min(TILE, TILE_CELLS // longest))
+    for a in range(0, batch.num_rows, step):
+        part = batch.slice(a, step)
+        width = min(dim, max(1, pc.max(part.column(1).value_lengths()).as_py() or 1))
+        yield part.column(0).to_numpy(), rows_of(part.column(1), width)
+
+
+def rotate_leading(m: np.ndarray, rotate: np.ndarray) -> np.ndarray:
+    """The leading components rotated; rows are as wide as the rotation at least."""
+    r = len(rotate)
+    m = np.pad(m, ((0, 0), (0, max(0, r - m.shape[1]))))
+    return np.concatenate([m[:, :r] @ rotate, m[:, r:]], axis=1)
+
+
 def rotation(ints: DataFrame, dim: int) -> np.ndarray:
-    """Right singular vectors, by descending singular value, from summed outer products of all rows."""
+    """Right singular vectors of the first ``dim`` components, by descending singular value, from summed outer products of all rows."""
 
     def run(batches):
         import pyarrow as pa
@@ -63,7 +86,7 @@ def rotation(ints: DataFrame, dim: int) -> np.ndarray:
         at = np.arange(dim * dim)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total.ravel(), pa.float64())], ["at", "x"])
 
-    sums = ints.select("v").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    sums = ints.select(F.slice("v", 1, dim).alias("v")).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     gram = np.zeros(dim * dim)
     gram[sums["at"].to_numpy()] = sums["x"].to_numpy()
     _, vectors = np.linalg.eigh(gram.reshape(dim, dim))
@@ -101,7 +124,7 @@ class Best:
 def scan(chunks, q_ids: np.ndarray, q: np.ndarray, rotate: np.ndarray, least: np.ndarray, k: int, lead: int) -> Best:
     """``chunks``: (ids, integer vectors), best by descending length, right in any order. Scores below ``least`` are not wanted."""
     best, slack = Best(len(q_ids), k), 1e-6
-    qr = q @ rotate
+    qr = rotate_leading(q, rotate)
     q_norm, q_rest = np.linalg.norm(q, axis=1), np.linalg.norm(qr[:, lead:], axis=1)
     limit = least.copy()
     for ids, v in chunks:
@@ -109,66 +132,67 @@ def scan(chunks, q_ids: np.ndarray, q: np.ndarray, rotate: np.ndarray, least: np
         live = np.flatnonzero(q_norm * norm.max(initial=0.0) * (1 + slack) + slack >= limit)
         if not len(live):
             continue  # a task reads several files, by size: longer vectors may follow
-        vr = v @ rotate
+        vr = rotate_leading(v, rotate)
         rest = np.linalg.norm(vr[:, lead:], axis=1)
+        width = min(q.shape[1], v.shape[1])  # what is missing is zero
         for a in range(0, len(live), TILE):
             at = live[a : a + TILE]
             bound = qr[at, :lead] @ vr[:, :lead].T + np.outer(q_rest[at], rest)
             bound += slack * (1 + np.outer(q_norm[at], norm))
             i, j = np.nonzero((bound >= limit[at, None]) & (q_ids[at, None] != ids[None, :]))
             if 4 * len(i) > bound.size:
-                score = (q[at] @ v.T)[i, j]
+                score = (q[at, :width] @ v[:, :width].T)[i, j]
             else:
-                score = np.concatenate([np.einsum("ij,ij->i", q[at[i[s : s + 50_000]]], v[j[s : s + 50_000]]) for s in range(0, max(1, len(i)), 50_000)])
+                step = max(1, min(50_000, TILE_CELLS // width))
+                score = np.concatenate([np.einsum("ij,ij->i", q[at[i[s : s + step]], :width], v[j[s : s + step], :width]) for s in range(0, max(1, len(i)), step)])
             good = score >= limit[at[i]]
             best.add(at[i[good]], ids[j[good]], score[good])
         limit = best.thresholds(limit)
     return best
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = SCALE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` largest integer inner products of each row that ``is_query`` holds for: ``query_id, rank, vec_id, score``.
 
     ``is_query`` is a condition on ``id``. Candidates are all rows but those with the query's own
     id; ties go to the smaller id; a query with fewer candidates gets all of them. Rows with a
     null id, a null vector, or null or non-finite components take no part. Shorter vectors count
     as filled up with zeros. Rows that repeat an id are candidates on their own, and a repeated
-    query is answered once for each row. Scores are exact below 2^53. No rows give no rows.
+    query is answered once for each row. Scores are exact below 2^53. Other columns are not read,
+    whatever their names. No rows give no rows.
     """
     spark = vectors.sparkSession
     ints = to_integers(vectors, id_col, vec_col, scale).filter("id is not null")
-    sorted_ = materialize(ints.repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm"), "id"), "vectors")
-    n_queries = sorted_.filter(is_query).count()
-    dim = max(1, sorted_.agg(F.max(F.size("v"))).first()[0] or 1)
-    rotate = rotation(sorted_, dim)
-    lead = max(1, min(dim, dim // 4))
-    head = sorted_.orderBy(F.desc("norm"), "id").limit(HEAD).toArrow()
-    head_ids, head_v = head.column("id").to_numpy(), rows_of(head.column("v").combine_chunks(), dim)
-    n_blocks = max(1, -(-n_queries // query_block))
+    sorted_ = ints.repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm"), "id")
+    # written once, so that a row's number stays the same
+    sorted_ = materialize(sorted_.withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    queries = sorted_.filter(is_query)
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("longest"), F.coalesce(F.sum(F.size("v") + 1), F.lit(0)).alias("cells")).first()
+    longest = sorted_.agg(F.coalesce(F.max(F.size("v")), F.lit(1)).alias("n")).first().n
+    rotate = rotation(sorted_, max(1, min(longest, ROTATED)))
+    lead = max(1, len(rotate) // 4)
+    dim = max(1, size.longest)
+    n_head = max(1, min(HEAD, block_bytes // (8 * longest)))
+    head = sorted_.orderBy(F.desc("norm"), "id").limit(n_head).select("id", "v").toArrow().combine_chunks().to_batches()
+    n_blocks = max(1, -(-8 * size.n * dim // block_bytes))
     out = None
     for block in range(n_blocks):
-        rows = sorted_.filter(is_query & (F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)).select("id", "v").toArrow()
+        rows = queries.filter(F.pmod(F.xxhash64("uid"), F.lit(n_blocks)) == block).select("id", "v").toArrow()
         q_ids, q = rows.column("id").to_numpy(), rows_of(rows.column("v").combine_chunks(), dim)
-        tiles = [(head_ids[a : a + TILE], head_v[a : a + TILE]) for a in range(0, len(head_ids), TILE)]
         least = np.full(len(q_ids), -np.inf)
-        least = scan(tiles, q_ids, q, rotate, least, k, lead).thresholds(least)
+        least = scan((t for b in head for t in tiles(b, longest)), q_ids, q, rotate, least, k, lead).thresholds(least)
         sent = spark.sparkContext.broadcast((q_ids, q, rotate, least))
 
         def run(batches, sent=sent):
             import pyarrow as pa
 
             q_ids, q, rotate, least = sent.value
-
-            def chunks():
-                for b in batches:
-                    for a in range(0, b.num_rows, TILE):
-                        part = b.slice(a, TILE)
-                        yield part.column(0).to_numpy(), rows_of(part.column(1), dim)
-
-            best = scan(chunks(), q_ids, q, rotate, least, k, lead)
+            best = scan((t for b in batches for t in tiles(b, longest)), q_ids, q, rotate, least, k, lead)
             yield pa.record_batch([pa.array(best.q, pa.int64()), pa.array(q_ids[best.q], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score.astype(np.int64), pa.int64())], ["q", "query_id", "vec_id", "score"])
 
-        found = sorted_.select("id", "v").mapInArrow(run, "q long, query_id long, vec_id long, score long").withColumn("block", F.lit(block))
+        found = sorted_.select("id", "v").mapInArrow(run, "q long, query_id long, vec_id long, score long")
+        rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+        found = materialize(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top")
+        sent.unpersist()
         out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(W.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out

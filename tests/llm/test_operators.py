@@ -472,6 +472,102 @@ def test_languages(spark, empty, odd):
     assert {r.lang for r in language_id.identify_languages(frame, docs.limit(0)).collect()} == {None}
 
 
+WORDS = {"en": "the house and garden with that this from they were", "de": "das haus und der garten mit dem nicht eine von", "fr": "la maison et le jardin avec cette pour dans une"}
+
+
+def test_languages_against_plain_python(spark):
+    """All posteriors, from the same text model, by counting in dictionaries; and the planted languages are found."""
+    rng = np.random.default_rng(4)
+    text = lambda k, n: " ".join(rng.choice(WORDS[k].split(), n))
+    docs = spark.createDataFrame([(i, text(k, 30), k) for i, k in enumerate(["en", "de", "fr"] * 12)], "doc_id long, text string, lang string")
+    pages, truth = [], {}
+    for i in range(90):
+        k = ["en", "de", "fr"][i % 3]
+        host = {"en": "a.example.co.uk", "de": "b.example.at", "fr": "c.example.com"}[k] if i % 4 else "d.example.com"
+        path = f"/{k}/x" if i % 5 == 0 else "/x"
+        lang = f' lang="{k}-XX"' if i % 7 else ""
+        pages.append((i, f"http://{host}{path}", f"<html{lang}><head><script>var das = 1;</script><title>nicht</title></head><body><p>{text(k, 3 + i % 9)}</p>&amp;&eacute;</body></html>"))
+        truth[i] = k
+    settings_ = language_id.LanguageSettings()
+    got = {r.page_id: r for r in language_id.identify_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert np.mean([got[i].lang == k for i, k in truth.items()]) >= 0.97
+    langs, model = language_id.fit_text_model(docs, settings_, "doc_id", "text", "lang")
+    assert langs == ["de", "en", "fr"]
+    ll, soft, levels, declared, named = [], [], [], [], []
+    for _, url, page in pages:
+        body = page[page.index("<p>") + 3 : page.index("</p>")] + " &é"
+        code, _ = language_id.gram_codes(pa.array([body]), settings_.bits)
+        x = model[:, code].sum(axis=1) * min(len(code), settings_.text_grams) / len(code)
+        ll.append(x)
+        soft.append(np.exp(x - x.max()) / np.exp(x - x.max()).sum())
+        host = url.split("/")[2]
+        domain = ".".join(host.split(".")[-3:] if host.endswith(".co.uk") else host.split(".")[-2:])
+        levels.append((host, domain, host.split(".")[-1]))
+        named.append(next((k for k in langs if f"/{k}/" in url), ""))
+        declared.append(page[12:14] if page.startswith("<html lang") else "")
+    soft, a, k0 = np.array(soft), settings_.smoothing, settings_.strength
+    world = (soft.sum(axis=0) + 1) / (len(pages) + 3)
+
+    def table(values, known):
+        return {v: np.log((sum((s for s, x in zip(soft, values) if x == v), np.zeros(3)) + a) / (soft.sum(axis=0) + a * len(known))) for v in known}
+
+    by_declared, by_named = table(declared, {"", "other", *langs}), table(named, {"", *langs})
+    for n, (i, _, _) in enumerate(pages):
+        prior = world
+        for level in (2, 1, 0):
+            same = [m for m in range(len(pages)) if levels[m][level] == levels[n][level]]
+            prior = (soft[same].sum(axis=0) - soft[n] + k0 * prior) / (len(same) - 1 + k0)
+        total = ll[n] + np.log(prior) + by_declared[declared[n]] + by_named[named[n]]
+        p = np.exp(total - total.max())
+        p /= p.sum()
+        assert got[i].lang == langs[int(total.argmax())] and got[i].host == levels[n][0]
+        assert abs(got[i].probability - p.max()) < 1e-9
+
+
+def test_languages_beyond_the_most_are_one(spark):
+    rows = [(i, "abc def ghi", "aa") for i in range(5)] + [(10 + i, "xyz uvw rst", "bb") for i in range(3)] + [(20, "mno pqr jkl", "cc"), (21, "mno pqr stu", "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    long_page = "<p>" + "mno pqr " * 60_000 + "</p>"
+    pages = spark.createDataFrame([(1, "http://h/", "<p>abc def</p>"), (2, None, long_page)], "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("id", "text", "uid", "host", "a.b")})
+    got = {r.page_id: r.lang for r in language_id.identify_languages(pages, docs, language_id.LanguageSettings(max_languages=2)).collect()}
+    assert got == {1: "aa", 2: "other"}
+
+
+def test_ftrl_against_a_plain_loop():
+    """Each coordinate by itself, in plain Python, in the same order of rows."""
+    rng = np.random.default_rng(0)
+    s = toxicity.FtrlSettings(bits=5, epochs=3, alpha=0.7, beta=0.5, l1=0.3, l2=0.1)
+    rows = [np.sort(rng.choice(32, rng.integers(0, 9), replace=False)) for _ in range(40)]
+    labels = rng.integers(0, 2, 40).astype(float)
+    z, n, order = [0.0] * 33, [0.0] * 33, np.random.default_rng(7)
+
+    def weight(i):
+        l1 = 0.0 if i == 32 else s.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for r in order.permutation(len(rows)):
+            own = [*rows[r].tolist(), 32]
+            w = {i: weight(i) for i in own}
+            gap = 1 / (1 + math.exp(-sum(w.values()))) - labels[r]
+            for i in own:
+                z[i] += gap - (math.sqrt(n[i] + gap * gap) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += gap * gap
+    got, intercept = toxicity.fit_ftrl(rows, labels, s)
+    assert np.allclose(got, [weight(i) for i in range(32)]) and math.isclose(intercept, weight(32)) and (got == 0).any()
+
+
+def test_labels_both_ways_are_not_learnt_from(spark, odd, empty):
+    docs = spark.createDataFrame([(i, "bad" if i % 2 else "good") for i in range(60)], "doc_id long, text string")
+    labels = [(i, 1, i % 2) for i in range(60)]
+    clean, mixed = (toxicity.fit_toxicity(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int"), F.lit(True), toxicity.FtrlSettings(l1=0.1)) for x in (labels[2:], labels + [(0, 1, 1), (1, 1, 0), (4, 1, 0)]))
+    assert np.array_equal(clean[0], mixed[0]) and np.array_equal(clean[1], mixed[1])
+    scored = toxicity.score_toxicity(odd, clean)
+    assert scored.columns == ["doc_id", "score", "predicted"] and scored.count() == 10
+    kept = toxicity.drop_rejected(odd, clean)
+    assert kept.columns == odd.columns and {r.score for r in kept.collect()} == {0} and toxicity.drop_rejected(empty, clean).count() == 0
+
+
 def test_hash_is_stable():
     from tidemark.llm.words import hash_words
 

@@ -300,6 +300,27 @@ def test_layouts(spark):
     assert chat_format.format_chats(chat_format.records_of_turns(rows.limit(0)), "conv_id", "record").count() == 0
 
 
+def test_conversations_in_several_layouts(spark):
+    rows = [(i, t, r, f"{r} {t} of {i}") for i in range(40) for t, r in enumerate(["user", "assistant"] if i % 2 else ["system", "user", "assistant", "user", "human"][: 2 + i % 4])]
+    rows += [(50, 0, "user", "x" * 300_000), (51, 0, "human", "h"), (51, 1, "gpt", None), (None, None, "user", "n")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("id", "t", "item", "record", "formatted", "a.b")})
+    chats = chat_format.format_chats(chat_format.records_in_layouts(turns), "conv_id", "record").collect()
+    assert {r.layout for r in chats} == {"turns", "messages", "shared", "prompt"} and all(r.unread == [] for r in chats)
+    got = {r.conv_id: chat_format.parse(r.formatted) for r in chats}
+    want = {}
+    for i, _, r, t in rows:
+        want.setdefault(i, []).append((r, t or ""))
+    assert got == want
+
+
+def test_fields_beside_the_turns():
+    read = lambda r: chat_format.canonical_turns(r, chat_format.Layouts().of(r)[1])
+    assert read({"system": "s", "messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, "b"]}, {"role": "assistant", "content": "c"}]}) == [("system", "s"), ("user", "ab"), ("assistant", "c")]
+    assert read({"instruction": "i", "output": "o", "history": [["p", "q"]], "system": "s"}) == [("system", "s"), ("user", "p"), ("assistant", "q"), ("user", "i"), ("assistant", "o")]
+    tie = {"prompt": "p", "response": "r", "question": "q", "answer": "a"}
+    assert chat_format.Layouts().of(tie)[1]["layout"] == "prompt" and set(tie) - chat_format.read_fields(chat_format.Layouts().of(tie)[1]) == {"question", "answer"}
+
+
 def test_top_k_by_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 6) * rng.choice([0.1, 1, 5])]) for i in range(300)]

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import CONTROLS, escaping_example, format_chats, read_back, records_of_turns
+from .chat_format import CONTROLS, escaping_example, format_chats, read_back, records_in_layouts
 from .common import read_table, ship
 from .dart_minhash import near_duplicates
 from .exact_dedup import exact_dedup
@@ -43,7 +43,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    records = records_of_turns(turns.unionByName(escaping_example(spark)))
+    records = records_in_layouts(turns.unionByName(escaping_example(spark)))
     return read_back(format_chats(records, "conv_id", "record"), "conv_id")
 
 

@@ -218,3 +218,39 @@ def test_each_stage_against_plain_python(spark):
     assert len(packed) == len(want) and {(p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in packed} == want
     first = [position[p.doc_id] for p in sorted(packed, key=lambda p: p.sequence_id) if p.offset == 0]
     assert first == sorted(first)
+
+
+def test_stages_of_odd_rows(spark, odd, empty):
+    """All columns of all names come through, null and repeated ids too; empty tables stay empty."""
+    import corpus_pipeline
+
+    rows = Counter(map(tuple, odd.collect()))
+    kept = {"toxicity": 10, "exact_dedup": 6, "minhash_near_dedup": 7, "source_mixing": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        made, none = stage(spark, odd, DATA), stage(spark, empty, DATA)
+        assert none.count() == 0 and none.columns == made.columns
+        if name in kept:
+            own = Counter(map(tuple, made.collect()))
+            assert made.columns == odd.columns and own <= rows and sum(own.values()) == kept[name]
+        else:
+            assert {r.doc_id for r in made.collect()} == {1, 2, 3, 4, 5, 7, 8, 9, None}
+
+
+def test_held_out_labels_are_told_apart(spark):
+    """On the real labels: rows that were not learnt from."""
+    label = {r.doc_id: r.toxic for r in read_table(spark, DATA, "labels").collect()}
+    held = [(r.predicted, label[r.doc_id]) for r in QUERIES["op4_toxicity"](spark, DATA).collect() if r.held_out and r.doc_id in label]
+    assert len(held) > 10 and sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_own_tables_are_removed(spark):
+    from tidemark.llm import common
+
+    mark = common.written(spark)
+    first, last = common.materialize(spark.range(3), "a"), common.materialize(spark.range(4), "b")
+    common.discard(spark, mark, keep=1)
+    assert last.count() == 4 and common.written(spark) == mark + 1
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
+        first.collect()

@@ -400,7 +400,7 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     for r in dart_minhash.near_duplicates(odd).collect():
         got.setdefault(r.doc_id, []).append((r.class_id, r.kept))
     assert got[1] == [(1, True)] and got[2] == [(1, False)] and got[3] == [(3, True)] and got[4] == [(3, False)]
-    assert got[None] == [(None, True)] and got[9] == [(9, True)] * 2 and got[7] == [(7, True)]
+    assert got[None] == [(None, True)] and got[9] == [(9, True)] * 2 and got[7] == [(7, True)] and len(got) == 9
     assert dart_minhash.near_duplicates(empty).count() == 0
 
 
@@ -417,6 +417,42 @@ def test_chains_of_near_copies_join(spark):
     assert {got[i] for i in range(40)} == {0} and all(got[100 + i] == 100 + i for i in range(20))
 
 
+def test_long_chains_and_stars_join_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = dart_minhash.materialize
+    monkeypatch.setattr(dart_minhash, "materialize", lambda df, name: rounds.append(name) or real(df, name))
+    chain = [(i, i + 1) for i in range(200)]
+    star = [(1_000, 1_000 + i) for i in range(1, 300)]
+    got = {r.node: r.label for r in dart_minhash.components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {1_000 + i: 1_000 for i in range(300)}
+    assert rounds.count("grandparents") <= 9
+
+
+def test_more_links_merge_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, label long")
+    got = {r.node: r.label for r in dart_minhash.merge_components(labels, spark.createDataFrame([(2, 4), (7, 9), (1, 2)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 9: 7}
+
+
+def test_groups_just_below_the_threshold_are_split_over_tasks(spark, monkeypatch):
+    """Texts that all share buckets and are not similar enough: all pairs are compared, none in a task of more than two fragments; two similar ones among them are found."""
+    sizes = []
+    real = dart_minhash.compare_tasks
+
+    def spy(rows, *a):
+        sizes.append(max((r["count"] for r in rows.groupBy("task").count().collect()), default=0))
+        return real(rows, *a)
+
+    monkeypatch.setattr(dart_minhash, "compare_tasks", spy)
+    monkeypatch.setattr(dart_minhash, "FRAGMENT", 10)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join(base + [f"t{i}_{j}" for j in range(17)])) for i in range(120)]
+    rows[77] = (77, rows[33][1].replace("t33_16", "other"))
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 33 if i == 77 else i for i in range(120)}
+    assert len(sizes) == 3 and max(sizes) <= 40
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (5, 5), (20, 4)]
     got = {r.node: r.label for r in dart_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -471,6 +507,57 @@ def test_lattice_by_enumeration():
     assert abs(sum(found[i, 0] for p, i in vocab.items() if p.endswith("</w>")) - 2.0) < 1e-9
 
 
+@pytest.mark.parametrize("segments", [True, False])
+def test_lm_scores_against_plain_python(spark, monkeypatch, segments):
+    """Whole tables: segmentations enumerated, counts in dictionaries, words in the head and beyond it; pieces' scores as fitted."""
+    import json
+
+    rng = np.random.default_rng(5)
+    pool = {"en": "the cat sat on mat banana thandble with by", "de": "der die das und banana stein enschsch"}
+    rows = [(i, " ".join(rng.choice(pool[k].split(), rng.integers(0, 12), p=None)), k) for i, k in enumerate(["en", "de", "en"] * 8)]
+    rows += [(90, "the unseen zqzqz cat", "en"), (91, None, "de"), (92, "y" * 90, "en")]
+    fitted = []
+    real = lattice_lm.fit_scores
+    monkeypatch.setattr(lattice_lm, "fit_scores", lambda *a, **k: fitted.append(real(*a, **k)) or fitted[-1])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in lattice_lm.score_texts(frame, F.col("id") < 20, head_words=4, word_segments=segments).collect()}
+    with open(vocabulary_path("word_bpe_49k.json")) as f:
+        vocab = json.load(f)["model"]["vocab"]
+    learnt = [(t.split(), k) for i, t, k in rows if i < 20]
+    names = sorted({k for _, k in learnt}, key=lambda k: (-sum(x == k for _, x in learnt), k))
+    counts = [Counter(w for t, x in learnt if x == k for w in t) for k in names]
+    every = sum(counts, Counter())
+    ends = [sum(x == k for _, x in learnt) for k in names]
+    d = lattice_lm.discounts([sum(c == m for c in every.values()) for m in range(1, 5)])
+    less = lambda c: c - d[min(c, 3)]
+
+    def pieces(word, k):
+        out = math.exp(fitted[0][vocab[word + "</w>"], k]) if word + "</w>" in vocab else 0.0
+        return out + sum(math.exp(fitted[0][vocab[word[:n]], k]) * pieces_known(word[n:], k) for n in range(1, len(word)) if word[:n] in vocab)
+
+    known = {}
+
+    def pieces_known(word, k):
+        if (word, k) not in known:
+            known[word, k] = pieces(word, k)
+        return known[word, k]
+
+    def p_word(w, k):
+        n, left = sum(counts[k].values()) + ends[k], sum(float(d[min(c, 3)]) for c in counts[k].values())
+        if not segments:
+            return sum(counts[k].values()) / n * pieces_known(w, k)
+        shared = less(every[w]) / sum(less(c) for c in every.values()) if every[w] else 0.0
+        own = less(counts[k][w]) if counts[k][w] else 0.0
+        return own / n + left / n * (lattice_lm.SHARED * shared + (1 - lattice_lm.SHARED) * pieces_known(w, k))
+
+    for i, t, _ in rows:
+        total = 0.0
+        for k in range(len(names)):
+            n = sum(counts[k].values()) + ends[k]
+            total += (ends[k] + 0.5) / (sum(ends) + 0.5 * len(names)) * ends[k] / n * math.prod(p_word(w, k) for w in (t or "").split())
+        assert math.isclose(got[i], math.log10(total), rel_tol=1e-7), i
+
+
 def test_lm_of_odd_rows(odd, empty, spark):
     got = lattice_lm.score_texts(odd, F.col("id") != 5, head_words=3).collect()
     assert len(got) == 10 and all(r.score < 0 and math.isfinite(r.score) for r in got)

@@ -118,6 +118,19 @@ ORACLE_SQL = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op8_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s\x0b]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS run FROM w
+        ), c AS (SELECT doc_id, run, count(*) AS n FROM s GROUP BY ALL),
+        t AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY ALL),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM met JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE m >= CAST(0.8 AS DOUBLE) * (x.n + y.n - m)),
+        linked AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT doc_id AS id, doc_id AS label FROM w UNION SELECT linked.b, r.label FROM r JOIN linked ON r.id = linked.a WHERE r.label < linked.b)
+        SELECT id AS doc_id, min(label) AS class_id, min(label) = id AS kept FROM r GROUP BY id
+    """,
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text),

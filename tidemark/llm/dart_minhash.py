@@ -156,10 +156,10 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of its component, for all nodes of ``edges`` (a, b).
 
     In each round a node adopts the neighbour of lowest priority, a hash that is new in each
-    round, if that is below its own, twice over; edges inside what is joined then vanish. About
-    half of the nodes or more are joined to others in a round, in a chain as anywhere else, so
-    that the rounds grow with the logarithm of the nodes. Each round is written to the shared
-    folder; nodes with very many edges are dealt over pages.
+    round, if that is below its own or its only neighbour, twice over; edges inside what is joined
+    then vanish. A star is joined in one round, of a chain more than half of the nodes, so that the
+    rounds grow with the logarithm of the nodes. Each round is written to the shared folder; nodes
+    with very many edges are dealt over pages.
     """
     edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     steps = []
@@ -167,10 +167,13 @@ def components(edges: DataFrame) -> DataFrame:
         priority = lambda c, r=len(steps): F.xxhash64(c, F.lit(r), F.lit(11))
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
         up = both.groupBy("node").agg(F.min_by("to", priority("to")).alias("to"), F.min(priority("to")).alias("least"), F.count("*").alias("n"))
-        up = materialize(up.select("node", "n", F.when(F.col("least") < priority("node"), F.col("to")).otherwise(F.col("node")).alias("parent")), "parents")
+        up = materialize(up.select("node", "n", F.when((F.col("n") == 1) | (F.col("least") < priority("node")), F.col("to")).otherwise(F.col("node")).alias("parent")), "parents")
         adopted = up.groupBy("parent").agg(F.count("*").alias("m"))
         over = materialize(adopted.join(up.select(F.col("node").alias("parent"), F.col("parent").alias("grand")), "parent"), "grandparents")
-        step = materialize(paged_join(up, over, ["parent"], "m", up.count(), F.col("node")).select("node", "n", F.col("grand").alias("parent")), "parents")
+        # two that adopt each other go to the lower one
+        mutual = (F.col("grand") == F.col("node")) & (F.col("parent") != F.col("node"))
+        last = F.when(mutual & (priority("parent") < priority("node")), F.col("parent")).otherwise(F.col("grand"))
+        step = materialize(paged_join(up, over, ["parent"], "m", up.count(), F.col("node")).select("node", "n", last.alias("parent")), "parents")
         steps.append(step)
         of_a, of_b = (step.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parent").alias(f"p{c}")) for c in "ab")
         joined = paged_join(paged_join(edges, of_a, ["a"], "na", 2 * n, F.col("b")), of_b, ["b"], "nb", 2 * n, F.col("a")).filter("pa <> pb")
@@ -186,6 +189,19 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(paged_join(root, least, ["root"], "m", root.count(), F.col("node")).select("node", "label"), "labels")
 
 
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (``node, label``) after more links (``a, b``): only what these join is closed again."""
+    links = materialize(links, "links")
+    known = labels.select("node", "label")
+    ends = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "node")
+    known = materialize(known.unionByName(ends.join(known, "node", "left_anti").withColumn("label", F.col("node"))), "known")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    more = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    counts = known.groupBy("label").agg(F.count("*").alias("m"))
+    entries = counts.join(more.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").withColumn("now", F.coalesce("now", "label"))
+    return materialize(paged_join(known, materialize(entries, "roots"), ["label"], "m", known.count(), F.col("node")).select("node", F.col("now").alias("label")), "labels")
+
+
 def whole_tasks(batches, most: int = SLICE_CHARS):
     """Tables of rows with their tasks whole, from batches sorted by ``task``; of about ``most`` bytes of text, or one task."""
     import pyarrow as pa
@@ -277,8 +293,8 @@ def fragment_of(c: str, parts):
 
 
 def star_links(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (``leader, rep``, distinct) that are similar enough, as ``a, b``; ``texts``: ``rep, text, size``."""
-    pairs = materialize(pairs.join(texts.select("rep", "size"), "rep"), "pairs")
+    """Those of ``pairs`` (``leader, rep, size`` of the latter, distinct) that are similar enough, as ``a, b``; ``texts``: ``rep, text``."""
+    pairs = materialize(pairs, "pairs")
     stars = materialize(pairs.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("parts", fragments("n", "bytes")), "stars")
     dealt = paged_join(pairs.select("leader", "rep"), stars, ["leader"], "n", pairs.count(), F.col("rep"))
     task = lambda f: F.xxhash64("leader", f)
@@ -289,9 +305,14 @@ def star_links(pairs: DataFrame, texts: DataFrame, size: int, threshold: float)
     return compare_tasks(rows.select("task", "side", "rep", F.col("rep").alias("label"), F.lit(0).alias("band"), F.array().cast("array<bigint>").alias("bands"), "text"), size, threshold)
 
 
-def outsider_links(unsettled: DataFrame, items: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links of members outside a bucket's main component to all members that they are not connected to; ``unsettled``: ``bucket, band, rep, label, n, main``."""
-    rows = unsettled.join(texts.select("rep", "size"), "rep").withColumn("out", F.col("label") != F.col("main"))
+def outsider_links(unsettled: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links of members outside a bucket's main component to all members that they are not connected to; ``unsettled``: ``bucket, band, rep, size, label, n, main``; ``texts``: ``rep, text, bands``."""
+    # of buckets with the same members that of the lowest band does: it is the first that its pairs share
+    both = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (12, 13)]
+    sets = unsettled.groupBy("bucket", "band").agg(F.count("*").alias("n"), *both)
+    first = materialize(sets.groupBy("n", "x12", "x13").agg(F.min_by("bucket", "band").alias("bucket")).select("bucket", "n"), "first")
+    rows = materialize(paged_join(unsettled.drop("n"), first, ["bucket"], "n", unsettled.count(), F.col("rep")), "outsiders")
+    rows = rows.withColumn("out", F.col("label") != F.col("main"))
     count = lambda c, x: F.sum(F.when(c, x).otherwise(0))
     sides = rows.groupBy("bucket").agg(*[count(c, x).alias(f"{a}{b}") for a, c in (("o", F.col("out")), ("m", ~F.col("out"))) for b, x in (("n", F.lit(1)), ("size", F.col("size")))], F.count("*").alias("n"))
     sides = materialize(sides.select("bucket", "n", fragments("on", "osize").alias("po"), fragments("mn", "msize").alias("pm")), "sides")
@@ -308,7 +329,7 @@ def outsider_links(unsettled: DataFrame, items: DataFrame, texts: DataFrame, siz
         outside.select(*own, F.lit("o").alias("kind"), F.lit(1).alias("side"), up_to(zero, F.col("f")).alias("g")).select("*", F.col("g").alias("i"), F.col("f").alias("j")),
     )
     tasks = functools.reduce(DataFrame.unionByName, parts).select(F.xxhash64("bucket", "kind", "i", "j").alias("task"), "side", "rep", "label", "band")
-    rows = tasks.join(texts.select("rep", "text"), "rep").join(items.select("rep", "bands"), "rep")
+    rows = tasks.join(texts.select("rep", "text", "bands"), "rep")
     return compare_tasks(rows.select("task", "side", "rep", "label", "band", "bands", "text"), size, threshold)
 
 
@@ -330,48 +351,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sign(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             for part in slices(batch, 1):
                 (f1, f2), keys = sign_texts(part.column(1), size, bands, rows)
+                length = pc.binary_length(part.column(1)).cast(pa.int64())
                 flat = pa.array(keys.view(np.int64).ravel(), pa.int64())
                 ends = pa.array(np.arange(part.num_rows + 1) * bands, pa.int32())
-                yield pa.record_batch([part.column(0), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(ends, flat)], ["id", "f1", "f2", "bands"])
+                yield pa.record_batch([part.column(0), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), length, pa.ListArray.from_arrays(ends, flat)], ["id", "f1", "f2", "size", "bands"])
 
-    schema = T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("f1 long, f2 long, bands array<long>").fields])
+    schema = T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("f1 long, f2 long, size long, bands array<long>").fields])
     signed = materialize(spread(source).mapInArrow(sign, schema), "signed")
-    items = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), F.count("*").alias("n"))
+    items = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.any_value("bands").alias("bands"), F.count("*").alias("n"))
     items = materialize(items, "items")
 
-    buckets = items.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))
-    lead = lambda c: F.min_by(c, F.xxhash64("bucket", c))
+    buckets = items.select("rep", "size", F.posexplode("bands").alias("band", "key")).select("rep", "size", "band", F.xxhash64("band", "key").alias("bucket"))
+    # the same few texts lead many buckets, so that most pairs of leader and member are the same in several
+    lead = lambda c: F.min_by(c, F.xxhash64(c, F.lit(8)))
     led = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("n"), lead("rep").alias("leader")).filter("n > 1"), "led")
-    members = materialize(paged_join(buckets, led, ["bucket"], "n", items.count() * bands, F.col("rep")).select("bucket", "band", "rep", "leader"), "members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialize(source.join(wanted, "id", "left_semi").select(F.col("id").alias("rep"), "text", F.octet_length("text").cast("long").alias("size")), "texts")
-
-    def open_members(members, links):
-        """Members of buckets that hold several components, with their label and the bucket's largest one; and all labels."""
-        labels = components(links)
-        labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", F.coalesce("label", "rep").alias("label"))
+    members = materialize(paged_join(buckets, led, ["bucket"], "n", items.count() * bands, F.col("rep")).select("bucket", "band", "rep", "size", "leader"), "members")
+    wanted = members.select(F.col("rep").alias("id")).distinct().join(items.select(F.col("rep").alias("id"), F.col("bands").alias("bands")), "id")
+    texts = materialize(source.join(wanted, "id").select(F.col("id").alias("rep"), "text", "bands"), "texts")
+
+    def open_members(members, labels):
+        """Members of buckets that hold several components, with their label and the bucket's largest one."""
+        labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "size", F.coalesce("label", "rep").alias("label"))
         labelled = materialize(labelled, "labelled")
         counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         sizes = counted.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
         open_ = materialize(sizes.filter("parts > 1").select("bucket", "n", F.col("most.label").alias("main")), "open")
-        return materialize(paged_join(labelled, open_, ["bucket"], "n", labelled.count(), F.col("rep")), "open"), labels
+        return materialize(paged_join(labelled, open_, ["bucket"], "n", labelled.count(), F.col("rep")), "open")
 
-    links = materialize(star_links(members.filter("rep <> leader").select("leader", "rep").distinct(), texts, size, threshold), "links")
+    labels = components(star_links(members.filter("rep <> leader").select("leader", "rep", "size").distinct(), texts, size, threshold))
     # the leader has met all others
-    unsettled, labels = open_members(members.filter("rep <> leader").select("bucket", "band", "rep"), links)
+    unsettled = open_members(members.filter("rep <> leader").select("bucket", "band", "rep", "size"), labels)
     if not unsettled.isEmpty():
         slot = F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(MEETINGS))
         hosts = unsettled.filter("label = main").groupBy("bucket", slot.alias("slot")).agg(lead("rep").alias("leader")).select("bucket", "leader")
-        meetings = unsettled.filter("label <> main").join(hosts, "bucket").select("leader", "rep").distinct()
-        links = links.unionByName(materialize(star_links(meetings, texts, size, threshold), "links"))
-        unsettled, labels = open_members(unsettled.select("bucket", "band", "rep"), links)
+        meetings = unsettled.filter("label <> main").join(hosts, "bucket").select("leader", "rep", "size").distinct()
+        labels = merge_components(labels, star_links(meetings, texts, size, threshold))
+        unsettled = open_members(unsettled.select("bucket", "band", "rep", "size"), labels)
     if not unsettled.isEmpty():
-        links = links.unionByName(materialize(outsider_links(unsettled, items, texts, size, threshold), "links"))
-        labels = components(links)
+        labels = merge_components(labels, outsider_links(unsettled, texts, size, threshold))
 
     classes = items.select("f1", "f2", "rep", "n").join(labels, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("class_id"))
     out = paged_join(signed.select("id", "f1", "f2"), materialize(classes, "classes"), ["f1", "f2"], "n", signed.count(), F.col("id"))

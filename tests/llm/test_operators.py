@@ -71,6 +71,8 @@ def test_paged_join_deals_hot_keys(spark):
     joined = paged_join(rows, entries, ["k"], "n", 20_000, F.col("id"))
     assert joined.columns == ["k", "id", "n", "v"] and joined.filter("v = 2 * k").count() == 20_000 and joined.select("id").distinct().count() == 20_000
     assert entries.filter(F.col("n") * PAGES > 20_000).count() == 1
+    few = rows.limit(30)
+    assert paged_join(few, few.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n", 30, F.col("id")).count() == 30
 
 
 def test_mixing_of_odd_rows(odd, empty):

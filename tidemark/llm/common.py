@@ -71,10 +71,14 @@ def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 PAGES = 1_000
 
 
+def _pages(n: str, total: int) -> Column:
+    """Parts of about a thousandth of ``total`` that a key's ``n`` rows make; 1 for a key with no more than that."""
+    return F.when(F.col(n) * PAGES > max(1, total), F.least(F.col(n), F.ceil(F.col(n) * PAGES / max(1, total)))).otherwise(1).cast("int")
+
+
 def hot_keys(counts: DataFrame, n: str, total: int) -> DataFrame:
-    """Keys with more than a thousandth of ``total`` rows, with ``_pages`` of about that size; at most ``PAGES`` rows, as their counts sum to ``total`` at most."""
-    total = max(1, total)
-    return counts.filter(F.col(n) * PAGES > total).withColumn("_pages", F.ceil(F.col(n) * PAGES / total).cast("int"))
+    """Keys with more than one row and more than a thousandth of ``total`` rows, with ``_pages``; at most ``PAGES`` rows, as their counts sum to ``total`` at most."""
+    return counts.withColumn("_pages", _pages(n, total)).filter("_pages > 1")
 
 
 def paged_join(rows: DataFrame, entries: DataFrame, on: Sequence[str], n: str, total: int, deal: Column) -> DataFrame:
@@ -87,8 +91,7 @@ def paged_join(rows: DataFrame, entries: DataFrame, on: Sequence[str], n: str, t
     same = [F.col(c) == F.col(f"_hot_{c}") for c in on]
     dealt = rows.join(F.broadcast(hot), functools.reduce(operator.and_, same), "left")
     dealt = dealt.withColumn("_page", F.coalesce(F.pmod(F.xxhash64(deal), "_pages"), F.lit(0)).cast("int")).drop("_pages", *[f"_hot_{c}" for c in on])
-    pages = F.when(F.col(n) * PAGES > max(1, total), F.ceil(F.col(n) * PAGES / max(1, total)).cast("int")).otherwise(1)
-    copied = entries.withColumn("_page", F.explode(F.sequence(F.lit(0), pages - 1)))
+    copied = entries.withColumn("_page", F.explode(F.sequence(F.lit(0), _pages(n, total) - 1)))
     return dealt.join(copied, [*on, "_page"]).drop("_page")
 
 
@@ -99,8 +102,10 @@ def row_of(df: DataFrame) -> Column:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, if a scan gives fewer; what is done row by row then uses them all."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    plan, cores = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= cores:
+        return df  # with a shuffle it is spread already
+    return df.repartition(cores)
 
 
 def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Rules, Settings
-from tidemark.functions.documents import date_at, has_field, is_transition, overlay_document, overlaid, residual_fields
+from tidemark.functions.documents import date_of, double_of, has_field, is_transition, overlay_document, parse_fields, residual_fields, text_of
 from tidemark.operators.quality import impossible_state, out_of_range, valid_transition
 from tidemark.streaming.supervisor import Supervisor, next_backoff_ms
 
@@ -23,7 +23,7 @@ def test_transitions(spark):
 
 def test_overlay_and_residual(spark):
     rows = [('{"a":1,"status":"old"}', '{"updatedFields":{"status":"new","b":null}}'), ('{"a":1}', None), (None, '{"updatedFields":{"a":2}}'), ("{bad", None)]
-    got = values(spark, rows, "d string, u string", overlay_document(F.col("d"), F.col("u")), overlaid(F.col("d"), F.col("u"), "status"), residual_fields(F.col("d"), ("status",)), has_field(F.col("u"), "b"))
+    got = values(spark, rows, "d string, u string", overlay_document(F.col("d"), F.col("u")), text_of(parse_fields(overlay_document(F.col("d"), F.col("u")))["status"]), residual_fields(F.col("d"), ("status",)), has_field(F.col("u"), "b"))
     assert json.loads(got[0][0]) == {"a": 1, "status": "new", "b": None} and got[0][1] == "new" and json.loads(got[0][2]) == {"a": 1} and got[0][3]
     assert json.loads(got[1][0]) == {"a": 1} and not got[1][3]
     assert got[2][0] is None and got[3][0] is None
@@ -31,10 +31,18 @@ def test_overlay_and_residual(spark):
 
 def test_dates(spark):
     rows = [('{"t":{"$date":"2024-01-01T10:00:00.5Z"}}',), ('{"t":{"$date":{"$numberLong":"-1000"}}}',), ('{"t":"no"}',), (None,)]
-    got = values(spark, rows, "d string", date_at(F.col("d"), "$.t").cast("double"))
+    got = values(spark, rows, "d string", date_of(parse_fields(F.col("d"))["t"]).cast("double"))
     assert [x for (x,) in got] == [1704103200.5, -1.0, None, None]
 
 
+def test_parsed_values(spark):
+    rows = [('{"a":"x","n":"12.5"}',), ('{"a":5,"n":3}',), ('{"a":{"b":[1,"c"]},"n":"no"}',), ('{"a":null,"n":true}',), ("{}",), ("[",)]
+    doc = parse_fields(F.col("d"))
+    got = values(spark, rows, "d string", text_of(doc["a"]), double_of(doc["n"]))
+    assert got[:2] == [("x", 12.5), ("5", 3.0)] and json.loads(got[2][0]) == {"b": [1, "c"]} and got[2][1] is None
+    assert [x for x, _ in got[3:]] == [None, None, None] and got[4][1] is None
+
+
 def test_states_and_ranges(spark):
     r = Rules()
     rows = [("em_analise", 5000.0, "cartao"), ("odd", 999_999.0, "cartao"), (None, None, "cartao"), ("paga", 500.0, "cartao"), ("paga", 1.0, None), ("deletada", 1.0, "other")]

@@ -234,6 +234,35 @@ def test_change_log(spark, tmp_path):
         list(read_range(path, "t", part, 0, 5))
 
 
+def test_log_writer_completes_a_commit_that_was_cut_off(tmp_path, monkeypatch):
+    from tidemark.sources import changes
+
+    path = str(tmp_path / "log")
+    writer = changes._StreamWriter(path, 6)
+    row = lambda i: type("Row", (), {"key": f"k{i}", "value": f"v{i}"})()
+    first = [writer.write([row(i) for i in range(8)]), writer.write([row(i) for i in range(8, 16)])]
+    renames = []
+    real = os.rename
+
+    def cut_off(a, b):
+        if len(renames) == 3:
+            raise OSError("killed")
+        renames.append(b)
+        real(a, b)
+
+    with monkeypatch.context() as m:
+        m.setattr(changes.os, "rename", cut_off)
+        with pytest.raises(OSError):
+            writer.commit(first, 0)
+    again = changes._StreamWriter(path, 6)
+    again.commit([again.write([row(i) for i in range(16)])], 0)
+    again.commit([again.write([row(i) for i in range(16)])], 0)
+    again.commit([again.write([row(16)])], 1)
+    values = sorted(r[1] for p in range(6) for r in read_range(path, "t", p, 0, changes.ends(path, 6)[str(p)]))
+    assert values == sorted(f"v{i}" for i in range(17))
+    assert not [f for d, _, names in os.walk(path) for f in names if f.startswith(".")]
+
+
 def test_change_stream_resumes_and_stops_where_it_cannot(spark, tmp_path):
     store = DocumentStore(str(tmp_path / "c"))
     for i in range(6):

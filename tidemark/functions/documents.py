@@ -19,12 +19,6 @@ def double_at(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, path).try_cast("double")
 
 
-def date_at(doc: Column, path: str) -> Column:
-    """A timestamp in extended JSON: ISO text under ``$date``, or milliseconds under ``$date.$numberLong``."""
-    millis = F.get_json_object(doc, f"{path}.$date.$numberLong").try_cast("bigint")
-    return F.coalesce(F.try_to_timestamp(F.get_json_object(doc, f"{path}.$date")), F.timestamp_millis(millis))
-
-
 def changed_fields(update: Column) -> Column:
     return F.get_json_object(update, "$.updatedFields")
 
@@ -75,12 +69,6 @@ def is_transition(operation: Column, update: Column, field: str = "status") -> C
     return F.coalesce(operation.isin("insert", "delete", "replace"), F.lit(False)) | (F.coalesce(operation == "update", F.lit(False)) & has_field(update, field))
 
 
-def overlaid(doc: Column, update: Column, name: str) -> Column:
-    """A top-level field as text: the event's own change if it names the field, else the document's value."""
-    own = F.get_json_object(changed_fields(update), f"$.{name}")
-    return F.when(doc.isNull(), F.lit(None).cast("string")).when(has_field(update, name), own).otherwise(F.get_json_object(doc, f"$.{name}"))
-
-
 def overlay_document(doc: Column, update: Column) -> Column:
     """The whole document with the update's fields laid over it at the top level; null without a document."""
     return F.to_json(lay_over(parse_fields(doc), parse_fields(changed_fields(update))))

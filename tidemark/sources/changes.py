@@ -122,14 +122,25 @@ class _Writer(DataSourceWriter):
                 f.close()
         return _Message(name, counts)
 
-    def commit(self, messages):
-        for m in messages:
-            if m is None:
-                raise RuntimeError("a task did not confirm what it wrote")
+    def plan(self, messages) -> list[tuple[str, str]]:
+        """The hidden files of all tasks and the segments that they become."""
+        if any(m is None for m in messages):
+            raise RuntimeError("a task did not confirm what it wrote")
+        at, out = ends(self.path, self.count), []
         for m in messages:
-            for p in m.counts:
-                at = ends(self.path, self.count)[str(p)]
-                os.rename(os.path.join(self.path, str(p), f".{m.file}"), os.path.join(self.path, str(p), f"{at:020d}.jsonl"))
+            for p, n in m.counts.items():
+                out.append((os.path.join(str(p), f".{m.file}"), os.path.join(str(p), f"{at[str(p)]:020d}.jsonl")))
+                at[str(p)] += n
+        return out
+
+    def carry_out(self, plan) -> None:
+        """Renames what has not been renamed yet."""
+        for hidden, segment in plan:
+            if os.path.exists(os.path.join(self.path, hidden)):
+                os.rename(os.path.join(self.path, hidden), os.path.join(self.path, segment))
+
+    def commit(self, messages):
+        self.carry_out(self.plan(messages))
 
     def abort(self, messages):
         for m in messages:
@@ -138,7 +149,13 @@ class _Writer(DataSourceWriter):
 
 
 class _StreamWriter(DataSourceStreamWriter):
-    """Batches that the log has already are not written again: their numbers are kept beside it."""
+    """Batches that the log has already are not written again.
+
+    What a batch's files become is written down before the first of them is renamed; a commit that
+    was cut off is completed when the batch comes again, and the files of its second run are dropped.
+    """
+
+    KEPT = 100
 
     def __init__(self, path: str, count: int):
         self.inner, self.path = _Writer(path, count), path
@@ -148,12 +165,20 @@ class _StreamWriter(DataSourceStreamWriter):
 
     def commit(self, messages, batchId):
         done = os.path.join(self.path, f"_batch-{batchId}")
+        os.makedirs(self.path, exist_ok=True)
         if os.path.exists(done):
+            with open(done, encoding="utf-8") as f:
+                self.inner.carry_out(json.load(f))
             self.inner.abort(messages)
             return
-        self.inner.commit(messages)
-        os.makedirs(self.path, exist_ok=True)
-        open(done, "w").close()
+        plan = self.inner.plan(messages)
+        with open(f"{done}.new", "w", encoding="utf-8") as f:
+            json.dump(plan, f)
+        os.replace(f"{done}.new", done)
+        self.inner.carry_out(plan)
+        old = os.path.join(self.path, f"_batch-{batchId - self.KEPT}")
+        if os.path.exists(old):
+            os.remove(old)
 
     def abort(self, messages, batchId):
         self.inner.abort(messages)

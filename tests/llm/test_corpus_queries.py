@@ -245,6 +245,21 @@ def test_held_out_labels_are_told_apart(spark):
     assert sum(a and not b for a, b in held) <= 0.02 * len(held)
 
 
+def test_stages_give_back_what_others_have_used(spark):
+    import corpus_pipeline
+    from tidemark.llm import common
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame([(i, f"text {i % 7}", "s") for i in range(30)], "doc_id long, text string, source string")
+    mark = common.written(spark)
+    assert stages["exact_dedup"](spark, docs, DATA).count() == 7
+    left = common.written_since(spark, mark)
+    own = common.materialize(docs, "of-the-caller")
+    assert left and stages["source_mixing"](spark, own, DATA).count() == 30
+    now = common.written_since(spark, 0)
+    assert not set(left) & set(now) and own.count() == 30
+
+
 def test_own_tables_are_removed(spark):
     from tidemark.llm import common
 

@@ -53,18 +53,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def written(spark: SparkSession) -> int:
-    """A mark for ``discard``."""
+    """A mark for ``discard`` and ``written_since``."""
     return len(_own_tables(spark))
 
 
-def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Removes the tables that this session's ``materialize`` has written since a mark, but for the last ``keep``; frames that read them no longer work."""
+def written_since(spark: SparkSession, mark: int) -> list[str]:
+    """Paths of the tables that ``materialize`` has written since a mark."""
+    return _own_tables(spark)[mark:]
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Removes tables that this session's ``materialize`` has written; frames that read them no longer work."""
     own = _own_tables(spark)
-    gone = own[since : len(own) - keep]
-    for path in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for name in [p for p in paths if p in own]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    own[since : len(own) - keep] = []
+        own.remove(name)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """``remove`` for all tables since a mark, but for the last ``keep``."""
+    own = _own_tables(spark)
+    remove(spark, own[since : len(own) - keep])
 
 
 #: Parts that a key with more than its share of rows is dealt to, and keys that can have such a share.

@@ -4,7 +4,8 @@ A stage's result is to be written before another stage is called: that removes t
 earlier stages have left in the shared folder.
 
 Toxic documents go, of equal texts one stays, of each class of near copies one stays, what is left
-is put in the order of its mix, and is packed into sequences that follow that order.
+is put in the order of its mix, and is packed into sequences that follow that order, as the files
+of the mix have it.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from tidemark.llm.common import discard, materialize, read_table, remove, row_of
 from tidemark.llm.dart_minhash import near_duplicates
 from tidemark.llm.exact_dedup import drop_copies
 from tidemark.llm.mixing import mixed_order
-from tidemark.llm.packing import pack_mixed
+from tidemark.llm.packing import pack_ordered
 from tidemark.llm.toxicity import drop_rejected, fit_toxicity
 
-#: Target weights by source, for the order of rows and of sequences alike; without them, in proportion to the square root of a source's rows.
+#: Target weights by source; without them, in proportion to the square root of a source's rows.
 WEIGHTS = None
 
 
@@ -94,13 +95,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @frugal
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences, numbered in the order of the mix.
+    """The pieces of all documents with their sequences, numbered in the order of the rows given, which is that of the mix.
 
     Null texts are empty: the end id alone. Null and repeated ids are documents of their own; very
     long texts are cut into pieces. Other columns are not read. No rows give no rows.
     """
     ship(spark)
-    return pack_mixed(docs, WEIGHTS)
+    return pack_ordered(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("minhash_near_dedup", drop_near_copies), ("source_mixing", mix), ("best_fit_packing", pack)]

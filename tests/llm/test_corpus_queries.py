@@ -161,6 +161,26 @@ def test_stages_pack_in_the_order_of_the_mix(spark):
     assert seen["a"] < 128 * counts["a"] / len(rows) - 8
 
 
+def test_packing_takes_the_order_that_the_stage_before_has_left(spark):
+    """Texts that nearly fill a sequence, in files of uneven size: sequences follow the rows as written, and the mix changes them."""
+    import corpus_pipeline
+    from tidemark.llm.common import materialize
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(i, "the " * (1_100 if i % 7 else 1_900), "a" if i < 150 else "b") for i in range(180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = lambda df: [p.doc_id for p in stages["best_fit_packing"](spark, df, DATA).orderBy("sequence_id").collect()]
+    # rows 0 to 99 in one file, the rest in eleven
+    part = F.when(F.col("doc_id") < 100, 0).otherwise((F.col("doc_id") - 92).cast("int").bitwiseAND(-8))
+    back = docs.repartitionByRange(24, part.desc()).sortWithinPartitions(part.desc(), F.col("doc_id").desc())
+    written = materialize(back, "back")
+    assert len(written.inputFiles()) > 10
+    assert order(written) == order(back) == list(range(180))[::-1]
+    mixed = materialize(stages["source_mixing"](spark, written, DATA), "mixed")
+    assert order(mixed) == [r.doc_id for r in stages["source_mixing"](spark, written, DATA).collect()]
+    assert Counter(rows[i][2] for i in order(mixed)[:64])["b"] >= 16
+
+
 def test_near_copies_stage_keeps_clean_texts_of_repeated_ids(spark):
     import corpus_pipeline
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import operator
+import re
 import tempfile
 import uuid
 import zipfile
@@ -110,6 +111,44 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(F.col("*"))
 
 
+def _scan_rows(df: DataFrame) -> Column | None:
+    """File and row number of what a plain scan of Parquet files reads; None if ``df`` is anything else."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation" or "Hadoop" not in plan.relation().getClass().getSimpleName():
+        return None
+    found = df.metadataColumn("_metadata")
+    return found if "row_index" in df.select(found.alias("m")).schema["m"].dataType.names else None
+
+
+def file_order(path: str) -> list:
+    """Sorts files as Spark's writers number them, by partition and then by part; numbers compare as such, whatever their digits."""
+    return [int(x) if i % 2 else x for i, x in enumerate(re.split(r"([0-9]+)", path))]
+
+
+def numbered(df: DataFrame, columns: Sequence[Column], number: str) -> DataFrame:
+    """``columns`` of ``df``, and each row's place in it as ``number``, from 0.
+
+    A scan of files does not keep the order in which they were written, since it deals files by
+    size. So the place comes from the files: in the order of ``file_order``, and from the row's
+    number in its file. A filter leaves gaps. What is no plain scan of Parquet is written first.
+    The driver gets one row for each file.
+    """
+    at = _scan_rows(df)
+    if at is None:
+        df = materialize(df.select(*columns), "ordered")
+        at, columns = df.metadataColumn("_metadata"), [df[f"`{c}`"] for c in df.columns]
+    rows = df.select(*columns, at["file_path"].alias("_path"), at["row_index"].alias("_at"))
+    ends = {r._path: r.n for r in rows.groupBy("_path").agg((F.max("_at") + 1).alias("n")).collect()}
+    before, first = 0, []
+    for path in sorted(ends, key=file_order):
+        first.append((path, before))
+        before += ends[path]
+    first = df.sparkSession.createDataFrame(first, "_path string, _first long")
+    return rows.join(F.broadcast(first), "_path").withColumn(number, F.col("_first") + F.col("_at")).drop("_path", "_first", "_at")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, if a scan gives fewer; what is done row by row then uses them all."""
     plan, cores = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext.defaultParallelism

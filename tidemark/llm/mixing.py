@@ -174,6 +174,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int] | None = None, sourc
 def mixed_order(docs: DataFrame, weights: Mapping[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """All rows and columns of ``docs``, whatever their names, in the order of the mix: partitions and the rows in them are sorted by position.
 
+    Files that it is written to keep that order in their names and rows; ``common.numbered`` reads it.
     Null sources count as ``''`` and stay null; null and repeated ids are rows of their own. No rows give no rows.
     """
     marked = docs.select(row_of(docs).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("origin"))

@@ -12,8 +12,8 @@
    up has left. All other sequences are settled. What is given is dealt anew over fewer partitions
    and packed again. An exchange that uses more sequences than before is undone.
 
-Where the sources are to stay mixed, partitions are contiguous ranges of the rows' positions in the
-mix, and a sequence is numbered by the position of its first piece, its longest. A sequence then holds
+Where rows have an order that is to be kept, such as that of a mix of sources, partitions are
+contiguous ranges of the rows' positions in it, and a sequence is numbered by the position of its first piece, its longest. A sequence then holds
 rows of one range, but for the pieces that were exchanged, whose ranges are wider.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BPE, inline, materialize, power_of_two, slices, spread, text_of, vocabulary_path
+from .common import WORD_BPE, inline, materialize, numbered, power_of_two, slices, spread, text_of, vocabulary_path
 from .mixing import mix_sources
 
 #: Tokens in a sequence, and the id that ends a document.
@@ -251,3 +251,15 @@ def pack_mixed(docs: DataFrame, weights: Mapping[str, int] | None = None, source
     places = mix_sources(pieces.filter("piece = 0"), weights, "origin", "id", keep=["row"]).select("row", "position")
     placed = materialize(pieces.join(places, "row").drop("row", "origin"), "placed")
     return pack_pieces(placed, capacity, partition_pieces).drop("position").withColumnRenamed("id", id_col)
+
+
+def pack_ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, capacity: int = CAPACITY, end_id: int = END_ID, partition_pieces: int = MIXED_PIECES) -> DataFrame:
+    """``pack_documents`` with sequences in the order of the rows of ``docs``, which files keep too (``common.numbered``).
+
+    A sequence stands at the position of its longest piece; the others are from the same range of
+    about ``partition_pieces`` pieces, or of a wider one where pieces were exchanged. Odd rows are
+    treated as ``pack_documents`` says; other columns are not read, whatever their names.
+    """
+    rows = numbered(docs, [F.col(id_col).alias("doc"), text_of(text_col).alias("text")], "position")
+    pieces = materialize(cut_documents(rows, "doc", "text", vocabulary, capacity, end_id, ["position"]), "pieces")
+    return pack_pieces(pieces, capacity, partition_pieces).drop("position").withColumnRenamed("id", id_col)

@@ -430,6 +430,26 @@ def test_long_chains_and_stars_join_in_few_rounds(spark, monkeypatch):
     assert rounds.count("grandparents") <= 9
 
 
+def test_few_edges_are_closed_in_one_task(spark, monkeypatch):
+    """Whatever number of rounds goes before; before, a single edge took a round of four tables and three more."""
+    written, real = [], dart_minhash.materialize
+    monkeypatch.setattr(dart_minhash, "materialize", lambda df, name: written.append(name) or real(df, name))
+    rng = np.random.default_rng(3)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 400, (300, 2))] + [(f"z{i}", f"z{i + 1}") for i in range(150)]
+    label = {x: x for e in pairs for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in pairs:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    for last in (8_192, 100, 0):
+        monkeypatch.setattr(dart_minhash, "LAST_EDGES", last)
+        written.clear()
+        assert {r.node: r.label for r in dart_minhash.components(edges).collect()} == label
+        assert last < 8_192 or written == ["edges", "parents"]
+    assert dart_minhash.components(edges.limit(0)).count() == 0
+
+
 def test_more_links_merge_components(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, label long")
     got = {r.node: r.label for r in dart_minhash.merge_components(labels, spark.createDataFrame([(2, 4), (7, 9), (1, 2)], "a long, b long")).collect()}

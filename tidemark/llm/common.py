@@ -40,6 +40,23 @@ def _own_tables(spark: SparkSession) -> list[str]:
     return context._tidemark_tables
 
 
+def relieve(spark: SparkSession) -> bool:
+    """Collects the driver's garbage if its heap has grown beyond half of its limit, at most once in ``RELIEF`` calls; says whether it did.
+
+    The plans of many short jobs are garbage soon, but the heap grows to its limit before the
+    collector looks at them, and keeps the memory; a full collection gives it back, and lets Spark
+    remove the shuffle files and broadcasts of frames that are gone.
+    """
+    context = spark.sparkContext
+    context._tidemark_calls = getattr(context, "_tidemark_calls", RELIEF) + 1
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if context._tidemark_calls < RELIEF or runtime.totalMemory() * 2 < runtime.maxMemory():
+        return False
+    context._tidemark_calls = 0
+    spark._jvm.System.gc()
+    return True
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet below the shared folder and reads it back.
 
@@ -49,10 +66,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    relieve(spark)
     _own_tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that are written between two full collections of the driver's garbage, at least.
+RELIEF = 6
+
+
 def written(spark: SparkSession) -> int:
     """A mark for ``discard`` and ``written_since``."""
     return len(_own_tables(spark))

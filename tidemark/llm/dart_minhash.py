@@ -44,6 +44,8 @@ LOWEST = -10
 MARGIN = 2.0
 #: Members of a bucket's largest component that an outsider meets first.
 MEETINGS = 4
+#: Edges that are left when one task closes the rest of them.
+LAST_EDGES = 8_192
 #: Texts and bytes of text in a fragment, about; a longer text is one by itself.
 FRAGMENT, FRAGMENT_BYTES = 500, 2_000_000
 
@@ -152,6 +154,40 @@ def sign_texts(texts, size: int, bands: int, rows: int):
     return prints, out
 
 
+def close(a, b):
+    """For Arrow arrays of the ends of edges: their nodes, and the smallest node of each one's component."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    nodes = pc.unique(pa.concat_arrays([a, b]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    a, b = (pc.index_in(x, nodes).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    label = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes.take(pa.array(label))
+
+
+def close_last(edges: DataFrame) -> DataFrame:
+    """``node, parent``, the smallest node of its component, of at most ``LAST_EDGES`` edges in one task."""
+    kind = edges.schema["a"].dataType
+
+    def run(batches):
+        import pyarrow as pa
+
+        if held := list(batches):
+            table = pa.Table.from_batches(held)
+            yield pa.record_batch(list(close(*(table.column(c).combine_chunks() for c in ("a", "b")))), ["node", "parent"])
+
+    return edges.coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("parent", kind)]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of its component, for all nodes of ``edges`` (a, b).
 
@@ -159,11 +195,17 @@ def components(edges: DataFrame) -> DataFrame:
     round, if that is below its own or its only neighbour, twice over; edges inside what is joined
     then vanish. A star is joined in one round, of a chain more than half of the nodes, so that the
     rounds grow with the logarithm of the nodes. Each round is written to the shared folder; nodes
-    with very many edges are dealt over pages.
+    with very many edges are dealt over pages. The last ``LAST_EDGES`` edges are closed by one task,
+    as rounds over so few are only plans and jobs, which take the driver's memory.
     """
     edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     steps = []
     while n := edges.count():
+        if n <= LAST_EDGES:
+            steps.append(materialize(close_last(edges), "parents"))
+            if len(steps) == 1:
+                return steps[0].select("node", F.col("parent").alias("label"))
+            break
         priority = lambda c, r=len(steps): F.xxhash64(c, F.lit(r), F.lit(11))
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
         up = both.groupBy("node").agg(F.min_by("to", priority("to")).alias("to"), F.min(priority("to")).alias("least"), F.count("*").alias("n"))

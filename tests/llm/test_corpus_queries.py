@@ -280,6 +280,18 @@ def test_stages_give_back_what_others_have_used(spark):
     assert not set(left) & set(now) and own.count() == 30
 
 
+def test_marks_hold_when_older_tables_go(spark):
+    from tidemark.llm import common
+
+    common.materialize(spark.range(2), "old")
+    old, mark = common.written_since(spark, 0)[-1:], common.written(spark)
+    common.remove(spark, old)
+    common.materialize(spark.range(3), "new")
+    assert len(common.written_since(spark, mark)) == 1
+    common.discard(spark, mark)
+    assert common.written_since(spark, mark) == []
+
+
 def test_own_tables_are_removed(spark):
     from tidemark.llm import common
 

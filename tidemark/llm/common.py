@@ -75,14 +75,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 RELIEF = 6
 
 
-def written(spark: SparkSession) -> int:
+class Mark(int):
+    """The number of tables there were; ``paths`` keeps which, so that it stays right when some of them are removed."""
+
+    paths: frozenset[str]
+
+
+def written(spark: SparkSession) -> Mark:
     """A mark for ``discard`` and ``written_since``."""
-    return len(_own_tables(spark))
+    own = _own_tables(spark)
+    mark = Mark(len(own))
+    mark.paths = frozenset(own)
+    return mark
 
 
 def written_since(spark: SparkSession, mark: int) -> list[str]:
-    """Paths of the tables that ``materialize`` has written since a mark."""
-    return _own_tables(spark)[mark:]
+    """Paths of the tables that ``materialize`` has written since a mark, and that are still there; since 0, all of them."""
+    own = _own_tables(spark)
+    return [p for p in own if p not in mark.paths] if isinstance(mark, Mark) else own[mark:]
 
 
 def remove(spark: SparkSession, paths: Sequence[str]) -> None:
@@ -96,8 +106,8 @@ def remove(spark: SparkSession, paths: Sequence[str]) -> None:
 
 def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """``remove`` for all tables since a mark, but for the last ``keep``."""
-    own = _own_tables(spark)
-    remove(spark, own[since : len(own) - keep])
+    own = written_since(spark, since)
+    remove(spark, own[: max(0, len(own) - keep)])
 
 
 #: Parts that a key with more than its share of rows is dealt to, and keys that can have such a share.
